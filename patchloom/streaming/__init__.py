@@ -1,0 +1 @@
+"""Subpackage: streaming."""
