@@ -11,6 +11,7 @@ most, and what is left is compared in blocks. Similarities are exact.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -120,12 +121,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     want_docs = wanted.join(classes.select(F.xxhash64("cls").alias("cid"), "cls", F.col("rep").alias("id")), "cid").select("cid", "cls", "id")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            kept = [(c, s.tobytes()) for c, cls, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if blake2b((s := shingles(t, n, hashes)).tobytes(), digest_size=16).hexdigest() == cls]
+            kept = []
+            for c, cls, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(t, n, hashes)
+                # Rows that repeat key and text are in one task.
+                if c not in seen and blake2b(s.tobytes(), digest_size=16).hexdigest() == cls:
+                    seen.add(c)
+                    kept.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["cid", "tokens"])
 
-    sets = stash(docs.join(want_docs, "id").select("cid", "cls", "text").mapInArrow(sets_of, "cid long, tokens binary").dropDuplicates(["cid"]))
+    # Bucketed by set: no later join shuffles the tokens again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = f"patchloom_sets_{uuid.uuid4().hex}"
+    wanted_texts = docs.join(want_docs, "id").select("cid", "cls", "text").repartition(parts, "cid")
+    wanted_texts.mapInArrow(sets_of, "cid long, tokens binary").write.bucketBy(parts, "cid").option("compression", "zstd").saveAsTable(name)
+    sets = docs.sparkSession.table(name)
 
     leaves = []
     for depth in range(MAX_DEPTH + 1):
@@ -148,6 +160,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
         spots = cut(_met(deeper.select("id", "copies", "size", F.explode("paths").alias("path"))))
 
     found = _verify(leaves, sets, threshold)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     near = found.groupBy("id").agg(F.sum("n").alias("n"))
     by_class = classes.withColumn("id", F.xxhash64("cls"))
     edges = found.select(F.col("id").alias("src"), F.col("joined").alias("dst"))
