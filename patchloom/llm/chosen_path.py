@@ -27,7 +27,7 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 SMALL = 64
-MAX_DEPTH = 4
+MAX_DEPTH = 1
 SEED = 0x5DEECE66D
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,21 +64,23 @@ def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def chosen(tokens: np.ndarray, path: int, threshold: float) -> np.ndarray:
-    """The paths a set follows from `path`: one for each token whose hash there falls under 1 / (threshold * size)."""
-    h = mix(tokens ^ mix(np.array([path], dtype=np.uint64) + np.uint64(SEED)))
-    limit = min(2**64 - 1, int(2**64 / (threshold * len(tokens))))
-    return mix(h[h < np.uint64(limit)] + np.uint64(path & 0xFFFFFFFF) + np.uint64(1))
+def chosen(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarray:
+    """The paths a set follows from `paths`: at each, one for every token whose hash there falls under 1 / (threshold * size)."""
+    h = mix(tokens[None, :] ^ mix(paths + np.uint64(SEED))[:, None])
+    row, column = np.nonzero(h < np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens))))))
+    return np.unique(mix(h[row, column] + (paths[row] & np.uint64(0xFFFFFFFF)) + np.uint64(1))).view(np.int64)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Repetitions after which a pair at the threshold has met with probability `recall`.
+def runs_for(threshold: float, recall: float, depth: int = MAX_DEPTH) -> int:
+    """Repetitions after which a pair at the threshold has met with probability `recall`, though all its buckets were split `depth` times.
 
     Such a pair shares 2 * threshold / (1 + threshold) of its tokens, each chosen with
-    probability 1 / (threshold * size); the paths it shares are close to Poisson.
-    Deeper splits lower the odds of a run to no less than a third of that.
+    probability 1 / (threshold * size), so the paths it goes on sharing are close to
+    Poisson with the mean 2 / (1 + threshold) at every step.
     """
-    meet = 1 - math.exp(-2 / (1 + threshold))
+    meet = 1.0
+    for _ in range(depth + 1):
+        meet = 1 - math.exp(-2 / (1 + threshold) * meet)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
@@ -99,14 +101,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
 
     def first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        starts = [int(x) for x in mix(np.arange(1, runs + 1, dtype=np.uint64))]
+        starts = mix(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in batches:
             sets, sizes, paths = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, n, hashes)
                 sets.append(blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 sizes.append(len(s))
-                paths.append(np.unique(np.concatenate([chosen(s, p, threshold) for p in starts])).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                paths.append(chosen(s, starts, threshold) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.string()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], ["id", "cls", "size", "paths"])
 
     marked = stash(docs.mapInArrow(first_paths, "id long, cls string, size int, paths array<long>"))
@@ -153,7 +155,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
                 paths = []
                 for tokens, at in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     s = np.frombuffer(tokens, dtype=np.uint64)
-                    paths.append(np.unique(np.concatenate([chosen(s, p & 0xFFFFFFFFFFFFFFFF, threshold) for p in at])).view(np.int64))
+                    paths.append(chosen(s, np.array(at, dtype=np.int64).view(np.uint64), threshold))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(paths, pa.list_(pa.int64()))], ["id", "copies", "size", "paths"])
 
         deeper = large.join(sets.withColumnRenamed("cid", "id"), "id").select("id", "copies", "size", "tokens", "paths").mapInArrow(split, "id long, copies long, size int, paths array<long>")

@@ -107,7 +107,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """
     spark = df.sparkSession
     base = only(df, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct()
-    classed = stash(base.withColumn("cls", F.md5(F.col("v").cast("string").cast("binary"))))
+    classed = stash(base.withColumn("cls", F.md5(F.coalesce(F.col("v").cast("string"), F.lit("")).cast("binary"))))
     groups = classed.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     lone = stash(classed.join(groups, "cls").filter("id = rep").select("rep", "copies", "v").dropDuplicates(["rep", "v"]))
     shape = lone.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -149,7 +149,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     near = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("src"), F.col("joined").alias("dst")))
     per_rep = groups.join(near.withColumnRenamed("id", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    usable = F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    usable = F.col("v").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     rows = classed.join(per_rep, "cls").select(
         "id",
         F.when(usable, F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
