@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512
+BLOCK = 1024
 
 
 def pair_blocks(members: DataFrame, bucket: str, member: str, size: str, block: int = BLOCK) -> DataFrame:
