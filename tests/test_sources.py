@@ -130,3 +130,9 @@ def test_git(spark, tmp_path):
     assert {r.tag for r in read("tags")} == {"v0", "v1"}
     assert [(r.path, r.kind) for r in read("tree")] == [("m", "blob")]
     assert [(r.path, r.lines, bytes(r.content)[-7:]) for r in read("blobs")] == [("m", 3, b"mail 2\n")]
+
+
+def test_empty_tables(spark):
+    assert ml.parse_mails(spark.createDataFrame([], "id long, raw binary, subject string")).count() == 0
+    assert df.parse_diffs(spark.createDataFrame([], "id long, diff array<string>, files int")).count() == 0
+    assert sc.parse_sections(spark.createDataFrame([], "version string, text string, section int")).count() == 0
