@@ -3,9 +3,11 @@
 A document is the set of its word shingles. In each of `runs` repetitions a set
 follows every token t of its own with hash(path, t) < 1 / (threshold * size), so
 that two sets at the threshold share 1/threshold * 2 * threshold / (1 + threshold)
-tokens' choices on average. Buckets of at most `SMALL` sets are compared by
-brute force; larger ones are split again on further tokens, `MAX_DEPTH` times at
-most, and what is left is compared in blocks. Similarities are exact.
+tokens' choices on average if they are of one size, and 1 at least. Buckets of at
+most `SMALL` sets are compared by brute force; larger ones are split again on
+further tokens, `MAX_DEPTH` times at most, and what is left is compared in blocks.
+Large buckets of which `ALIKE` or more have the same members hold sets that no
+split parts: they are compared in blocks at once, as one. Similarities are exact.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 SMALL = 64
 MAX_DEPTH = 1
+ALIKE = 4
 SEED = 0x5DEECE66D
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -74,13 +77,14 @@ def chosen(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarra
 def runs_for(threshold: float, recall: float, depth: int = MAX_DEPTH) -> int:
     """Repetitions after which a pair at the threshold has met with probability `recall`, though all its buckets were split `depth` times.
 
-    Such a pair shares 2 * threshold / (1 + threshold) of its tokens, each chosen with
-    probability 1 / (threshold * size), so the paths it goes on sharing are close to
-    Poisson with the mean 2 / (1 + threshold) at every step.
+    Such a pair shares a token's choice with the probability 1 / (threshold * larger size).
+    It shares `threshold` times the larger size of tokens where one set holds the other,
+    more elsewhere, so the paths it goes on sharing are close to Poisson with the mean 1
+    at every step, or more.
     """
     meet = 1.0
     for _ in range(depth + 1):
-        meet = 1 - math.exp(-2 / (1 + threshold) * meet)
+        meet = 1 - math.exp(-meet)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
@@ -117,7 +121,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     # A row stands for its class; an id that stands for several classes does so once for each.
     lone = marked.select("id", "cls", "size", "paths").join(classes, "cls").filter("id = rep").dropDuplicates(["cls"])
     spots = lone.select(F.xxhash64("cls").alias("id"), "copies", "size", F.explode("paths").alias("path"))
-    spots = cut(_met(spots))
+    spots = cut(_met(spots, MAX_DEPTH == 0))
 
     wanted = cut(spots.select(F.col("id").alias("cid")).distinct())
     want_docs = wanted.join(classes.select(F.xxhash64("cls").alias("cid"), "cls", F.col("rep").alias("id")), "cid").select("cid", "cls", "id")
@@ -143,10 +147,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
 
     leaves = []
     for depth in range(MAX_DEPTH + 1):
-        leaves.append(spots.filter(F.col("bucket_size") <= SMALL) if depth < MAX_DEPTH else spots)
+        leaves.append(spots.filter("leaf"))
         if depth == MAX_DEPTH:
             break
-        large = spots.filter(F.col("bucket_size") > SMALL).groupBy("id", "copies", "size").agg(F.collect_set("path").alias("paths"))
+        large = spots.filter("not leaf").groupBy("id", "copies", "size").agg(F.collect_set("path").alias("paths"))
         if large.isEmpty():
             break
 
@@ -159,7 +163,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(paths, pa.list_(pa.int64()))], ["id", "copies", "size", "paths"])
 
         deeper = large.join(sets.withColumnRenamed("cid", "id"), "id").select("id", "copies", "size", "tokens", "paths").mapInArrow(split, "id long, copies long, size int, paths array<long>")
-        spots = cut(_met(deeper.select("id", "copies", "size", F.explode("paths").alias("path"))))
+        spots = cut(_met(deeper.select("id", "copies", "size", F.explode("paths").alias("path")), depth + 1 == MAX_DEPTH))
 
     found = _verify(leaves, sets, threshold)
     docs.sparkSession.sql(f"DROP TABLE {name}")
@@ -174,11 +178,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     return rows.select(F.col("id").alias(key), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
-def _met(spots: DataFrame) -> DataFrame:
-    """The rows whose path holds several sets, with that number; of paths with the same members one stays."""
+def _met(spots: DataFrame, last: bool) -> DataFrame:
+    """The rows whose path holds several sets, with that number, and whether it is a leaf, to be compared and not split.
+
+    Of leaves with the same members one stays. Paths still to be split all stay, as
+    each is split by choices of its own and recall counts on every one.
+    """
     paths = spots.groupBy("path").agg(F.count("*").alias("bucket_size"), F.bit_xor(F.xxhash64("id")).alias("a"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 24)).alias("b"))
-    paths = paths.filter("bucket_size > 1").groupBy("bucket_size", "a", "b").agg(F.min("path").alias("path"))
-    return spots.join(paths.select("path", "bucket_size"), "path")
+    paths = paths.filter("bucket_size > 1").groupBy("bucket_size", "a", "b").agg(F.collect_list("path").alias("alike"))
+    paths = paths.withColumn("leaf", F.lit(last) | (F.col("bucket_size") <= SMALL) | (F.size("alike") >= ALIKE))
+    paths = paths.withColumn("path", F.explode(F.when(F.col("leaf"), F.array(F.array_min("alike"))).otherwise(F.col("alike"))))
+    return spots.join(paths.select("path", "bucket_size", "leaf"), "path")
 
 
 def _verify(leaves: list[DataFrame], sets: DataFrame, threshold: float) -> DataFrame:

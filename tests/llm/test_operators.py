@@ -74,6 +74,36 @@ def test_chosen_path_splits_large_buckets(spark):
     assert all(got[i].n_links == 0 for i in range(150)) and all(got[1000 + i].n_links == 89 and got[1000 + i].class_id == 1000 for i in range(90))
 
 
+def test_chosen_path_keeps_recall_in_groups_of_variants(spark):
+    # Templates of 300 words with one changed place: the first buckets of a group have the same members in every run.
+    rows, sets = [], {}
+    for g in range(16):
+        for i in range(100):
+            words = [f"t{g}x{j}" for j in range(300)]
+            words[20 * (i % 2) : 20 * (i % 2) + 7] = [f"n{g}x{i}x{j}" for j in range(7)]
+            rows.append((1000 * g + i, " ".join(words)))
+            sets[1000 * g + i] = {tuple(words[j : j + 5]) for j in range(296)}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= chosen_path.THRESHOLD
+    want = {a: sum(near(a, b) for b in range(a - a % 1000, a - a % 1000 + 100) if a != b) for a in sets}
+    got = {r.doc_id: r for r in chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(want.values()) > 90 and all(got[a].n_links <= want[a] and got[a].class_id == a - a % 1000 for a in want)
+    assert sum(r.n_links for r in got.values()) >= 0.999 * sum(want.values())
+
+
+def test_chosen_path_runs_hold_for_a_set_within_another():
+    # 80 of 100 tokens: similarity 0.8, and one common path at every step in the mean.
+    rng, t = np.random.default_rng(9), chosen_path.THRESHOLD
+
+    def meet(x):
+        paths = chosen_path.mix(np.arange(1, 2, dtype=np.uint64))
+        for _ in range(chosen_path.MAX_DEPTH + 1):
+            paths = np.intersect1d(chosen_path.chosen(x, paths, t), chosen_path.chosen(x[:80], paths, t)).view(np.uint64)
+        return len(paths) > 0
+
+    met = np.mean([meet(x) for x in rng.integers(0, 2**64, size=(4000, 100), dtype=np.uint64)])
+    assert (1 - met) ** chosen_path.runs_for(t, 0.9999) < 1.5e-4
+
+
 def test_snapshots(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, None, None), (None, 0, "user", "z")]
     got = snapshots.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "turn_index").collect()
