@@ -199,3 +199,33 @@ def test_shards(spark, docs, none):
     assert len(got) == 700 and all(sorted(s for s, _ in x) == list(range(len(x))) for x in sizes.values())
     assert max(abs(sum(b for _, b in x) - total / 24) for x in sizes.values()) <= 2 * max(r["size"] for r in got)
     assert label_shards.shards(docs).count() == len(ROWS) and label_shards.shards(none).count() == 0
+
+
+def test_fuzzy_lines_follow_the_edit_rule(spark):
+    # Each line with one variant: a word changed, a number changed, or as many characters spread over the line as the rule allows.
+    rng, rows, kinds = np.random.default_rng(4), [], {}
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    for i in range(900):
+        n = (1, 5, 8, 12, 20, 50)[i % 6]
+        words = ["".join(rng.choice(letters, rng.integers(3, 9) if n > 1 else 40)) for _ in range(n)]
+        kind = i // 6 % 3
+        line, other = " ".join(words), list(words)
+        if kind < 2:
+            at = int(rng.integers(n))
+            other[at] = "".join(rng.choice(letters, 3)) if n > 1 and kind == 0 else other[at][:-1] + "7"
+            other = " ".join(other)
+        else:
+            other = list(line)
+            for at in rng.choice(len(line), int(len(line) * 0.1), replace=False):
+                other[at] = "#"
+            other = "".join(other)
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        kinds[2 * i + 1] = (n, kind, line, other)
+    pairs = spark.createDataFrame([(k, *v[2:]) for k, v in kinds.items()], "k long, a string, b string")
+    similar = {r.k for r in pairs.filter("levenshtein(a, b) <= 0.1 * greatest(length(a), length(b)) + 1e-9").collect()}
+    found = {r.doc_id for r in fuzzy_lines.decide(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_kept = 0").collect()}
+    assert found <= similar and len(similar) > 700
+    for n in (1, 5, 8, 12, 20, 50):
+        want = {k for k in similar if kinds[k][0] == n}
+        assert len(want & found) >= 0.98 * len(want), (n, len(want & found), len(want))
+    assert len(found) >= 0.99 * len(similar), (len(found), len(similar))
