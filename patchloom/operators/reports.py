@@ -89,12 +89,18 @@ def ecdf(rows: DataFrame, value: str) -> DataFrame:
 
 
 def rate_pairs(patches: DataFrame, block: list[str]) -> DataFrame:
-    """(a, b, msg, dlr) for patches that agree in the blocking columns; the cheap ratio of lines gates the costly score."""
+    """(a, b, msg, dlr) for patches that agree in the blocking columns.
+
+    Whole texts are compared. The cheap ratio of lines gates the costly score: pairs below it are rated 0.
+    """
     a, b = patches.alias("a"), patches.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block])
     pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.head").alias("x"), F.col("b.head").alias("y"), sim.lines_ratio(F.col("a.lines"), F.col("b.lines")).alias("dlr"))
-    return pairs.filter("dlr >= 0.3").select("a", "b", sim.message_similarity("x", "y").alias("msg"), "dlr")
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("x"), F.col("b.text").alias("y"), sim.lines_ratio(F.col("a.lines"), F.col("b.lines")).alias("dlr"))
+    gated = F.col("dlr") < 0.3
+    # The score is computed for every row, so gated ones pass no texts.
+    score = sim.message_similarity(F.when(~gated, F.col("x")), F.when(~gated, F.col("y")))
+    return pairs.select("a", "b", F.when(gated, 0.0).otherwise(score).alias("msg"), "dlr")
 
 
 def refresh(cached: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

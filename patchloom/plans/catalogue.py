@@ -457,8 +457,8 @@ def c1_composition(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m5_pair_rating(spark: SparkSession, d: str) -> DataFrame:
-    """Message similarity of patches that touch the same thing: equal first line and language."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"), "lang", F.substring("text", 1, 400).alias("head"), F.size(F.split("text", "\n")).alias("lines"))
+    """Message similarity over whole texts of patches that touch the same thing: equal first line and language."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"), "lang", "text", F.size(F.split("text", "\n")).alias("lines"))
     return rp.rate_pairs(docs, ["lang", "subject"])
 
 
