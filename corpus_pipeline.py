@@ -31,9 +31,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarities of 0.8 or more connect: that of the smallest doc_id."""
+    """One document of each group that similarities of 0.8 or more connect: that of the smallest doc_id. Rows without a doc_id take no part and stay."""
     kept = chosen_path.join(docs).filter("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS)
+    return rows.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(rows.filter("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

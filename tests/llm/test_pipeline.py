@@ -153,3 +153,9 @@ def test_equal_ends_leave_the_distance(spark):
     df = spark.createDataFrame(rows, "i int, a string, b string").withColumn("cut", fuzzy_lines.without_equal_ends(F.col("a"), F.col("b")))
     assert df.filter(F.levenshtein("cut.a", "cut.b") != F.levenshtein("a", "b")).count() == 0
     assert df.filter(F.length("cut.a") < F.length("a")).count() > 100
+
+
+def test_rows_without_id_stay(spark):
+    rows = [(None, "a text without an id that is like no other", "en", "s", 42), (1, "some other text of more than five words", "en", "s", 39), (2, "some other text of more than five words", "en", "s", 39)]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id is None, r.text) for r in got) == [(False, rows[1][1]), (True, rows[0][1])]
