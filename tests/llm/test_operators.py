@@ -229,3 +229,55 @@ def test_fuzzy_lines_follow_the_edit_rule(spark):
         want = {k for k in similar if kinds[k][0] == n}
         assert len(want & found) >= 0.98 * len(want), (n, len(want & found), len(want))
     assert len(found) >= 0.99 * len(similar), (len(found), len(similar))
+
+
+def test_pieces_do_not_depend_on_the_batch():
+    lattice = gumbel_pieces.lattice_of(PIECES)
+    texts = [r[1] for r in ROWS] + ["Zeile mit Umlaut ä und 漢字", "a b  c", "one two three four five"] * 20
+    seeds = gumbel_pieces.mix(np.arange(len(texts), dtype=np.uint64))
+    lattice.reset()
+    whole = gumbel_pieces.sample(lattice, texts, seeds, 3)
+    for i in range(len(texts)):
+        lattice.reset()
+        alone = gumbel_pieces.sample(lattice, texts[i : i + 1], seeds[i : i + 1], 3)[0]
+        assert [(lattice.ids(e).tolist(), *r) for e, *r in alone] == [(x, *r) for x, r in zip(_ids_of(texts, whole, i), [r[1:] for r in whole[i]], strict=True)]
+
+
+def _ids_of(texts, found, i):
+    """Edge numbers depend on the units known, so ids are looked up in a lattice filled as it was."""
+    lattice = gumbel_pieces.lattice_of(PIECES)
+    lattice.reset()
+    again = gumbel_pieces.sample(lattice, texts, gumbel_pieces.mix(np.arange(len(texts), dtype=np.uint64)), 3)
+    return [lattice.ids(e).tolist() for e, *_ in again[i]]
+
+
+def test_pieces_of_a_small_lattice_by_enumeration():
+    """All segmentations of a short text with their probabilities, against log_prob and the share of first samples."""
+    lattice = gumbel_pieces.lattice_of(PIECES)
+    lattice.reset()
+    gumbel_pieces.sample(lattice, ["the"], np.array([1], dtype=np.uint64), 1)
+    start = lattice.unit["▁the"]
+
+    def paths(v):
+        edges = range(lattice.first[v], lattice.first[v + 1])
+        if not edges:
+            return [((), 0.0)]
+        total = np.logaddexp.reduce([lattice.weight[lattice.piece[e]] + rest(v + lattice.length[e]) for e in edges])
+        return [((e, *p), lattice.weight[lattice.piece[e]] + rest(v + lattice.length[e]) - total + q) for e in edges for p, q in paths(v + lattice.length[e])]
+
+    def rest(v):
+        edges = range(lattice.first[v], lattice.first[v + 1])
+        return np.logaddexp.reduce([lattice.weight[lattice.piece[e]] + rest(v + lattice.length[e]) for e in edges]) if edges else 0.0
+
+    every = dict(paths(start))
+    assert abs(sum(map(math.exp, every.values())) - 1) < 1e-9 and len(every) > 3
+    n = 6000
+    found = gumbel_pieces.sample(lattice, ["the"] * n, gumbel_pieces.mix(np.arange(n, dtype=np.uint64)), 3)
+    counts = {}
+    for samples in found:
+        assert len({tuple(e.tolist()) for e, *_ in samples}) == 3
+        for e, log_p, *_ in samples:
+            assert abs(every[tuple(e.tolist())] - log_p) < 1e-9
+        first = tuple(samples[0][0].tolist())
+        counts[first] = counts.get(first, 0) + 1
+    assert all(abs(counts.get(p, 0) / n - math.exp(q)) < 0.03 for p, q in every.items())
