@@ -5,16 +5,24 @@ from __future__ import annotations
 import math
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _recovery_point(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, which all executors must share; set spark.checkpoint.dir."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="patchloom-"))
-    return df.checkpoint(eager=True)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="patchloom-"))
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the estimated size of its plan; over many rounds of joins the product of sizes outgrows memory.
+    bare = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(bare, spark)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -54,8 +62,77 @@ def statistics(members: DataFrame) -> DataFrame:
 
 
 def contingency(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(t, p, n) of two clusterings (id, cluster_id)."""
-    return truth.select("id", F.col("cluster_id").alias("t")).join(predicted.select("id", F.col("cluster_id").alias("p")), "id").groupBy("t", "p").agg(F.count("*").alias("n"))
+    """(t, p, n) of two clusterings (id, cluster_id); an id that one of them lacks is a cluster of its own there."""
+    both = intermix(truth, predicted)
+    return both.groupBy("t", "p").agg(F.count("*").alias("n"))
+
+
+def intermix(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(id, t, p): all ids of either clustering; t or p of an id that is missing there names a cluster that holds nothing else."""
+    a, b = truth.select("id", F.struct(F.lit(0).alias("own"), F.col("cluster_id").alias("name")).alias("t")), predicted.select("id", F.struct(F.lit(0).alias("own"), F.col("cluster_id").alias("name")).alias("p"))
+    own = F.struct(F.lit(1).alias("own"), F.col("id").alias("name"))
+    return a.join(b, "id", "full").select("id", F.coalesce("t", own).alias("t"), F.coalesce("p", own).alias("p"))
+
+
+def identical(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(cluster_id, other_id) of clusters with the same members in both clusterings.
+
+    Members are compared by their number and two sums of hashes, not as lists.
+    """
+    def marks(x: DataFrame, name: str) -> DataFrame:
+        return x.select("id", "cluster_id").distinct().groupBy(F.col("cluster_id").alias(name)).agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
+    return marks(left, "cluster_id").join(marks(right, "other_id"), ["n", "h", "g"]).select("cluster_id", "other_id")
+
+
+def remove(members: DataFrame, ids: DataFrame) -> DataFrame:
+    """The clustering without the given ids; clusters left empty are gone."""
+    return members.join(ids.select("id"), "id", "left_anti").select(*members.columns)
+
+
+def mark_upstream(members: DataFrame, ids: DataFrame, upstream: bool = True) -> DataFrame:
+    """The clustering with the given ids marked as upstream, or no longer so."""
+    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    return members.join(hit, "id", "left").withColumn("is_upstream", F.when(F.col("_hit"), F.lit(upstream)).otherwise(F.col("is_upstream"))).select(*members.columns)
+
+
+def rip_up(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The clustering with every member of the given clusters (cluster_id) alone in a cluster named by it."""
+    hit = clusters.select("cluster_id").distinct().withColumn("_hit", F.lit(True))
+    return members.join(hit, "cluster_id", "left").withColumn("cluster_id", F.when(F.col("_hit"), F.col("id")).otherwise(F.col("cluster_id"))).select(*members.columns)
+
+
+def insert(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, cluster_id) after the members of each group (group, id) were put into one cluster, which merges the clusters they were in."""
+    head = groups.groupBy("group").agg(F.min("id").alias("head"))
+    edges = groups.join(head, "group").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    first = members.groupBy("cluster_id").agg(F.min("id").alias("head"))
+    kept = members.join(first, "cluster_id").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return components(kept.unionByName(edges), members.select("id").unionByName(groups.select("id")))
+
+
+def related(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, related): all ids of the set (set, id) are known and in one cluster."""
+    found = sets.join(members.select("id", "cluster_id"), "id", "left")
+    return found.groupBy("set").agg(((F.count_distinct("cluster_id") == 1) & F.bool_and(F.col("cluster_id").isNotNull())).alias("related"))
+
+
+def not_false_positive(pairs: DataFrame, members: DataFrame, false_positives: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not known to be wrong.
+
+    A pair is wrong where a false positive (origin, dest) begins at a downstream
+    member of a's cluster and ends in b's cluster. Ids without a cluster are one of their own.
+    """
+    label = lambda rows, col, name: rows.join(members.select(F.col("id").alias(col), F.col("cluster_id").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
+    down = members.filter(~F.col("is_upstream")).select(F.col("id").alias("origin"))
+    strangers = false_positives.join(members.select(F.col("id").alias("origin")), "origin", "left_anti")
+    known = false_positives.join(down, "origin", "left_semi").unionByName(strangers)
+    wrong = label(label(known, "origin", "ca"), "dest", "cb").select("ca", "cb").distinct()
+    return label(label(pairs, "a", "ca"), "b", "cb").join(wrong, ["ca", "cb"], "left_anti").select(*pairs.columns)
+
+
+def unreachable(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members that neither a repository nor a mailbox (id) has."""
+    return members.join(known.select("id"), "id", "left_anti")
 
 
 def _pairs(n: Column) -> Column:
@@ -96,14 +173,49 @@ def entropy_scores(table: DataFrame) -> DataFrame:
     return one.select(hom.alias("homogeneity"), com.alias("completeness"), v.alias("v_measure"), mi.alias("mutual_information"), v.alias("nmi"), ari.alias("adjusted_rand"), fm.alias("fowlkes_mallows"), (F.col("hits") / total).alias("purity"))
 
 
-def expected_mutual_information(rows: list[int], cols: list[int]) -> float:
-    """Expected mutual information (nats) of clusterings with the given sizes."""
-    n = sum(rows)
+def adjusted_mutual_information(table: DataFrame) -> DataFrame:
+    """One row, ami: mutual information above what clusterings of the same sizes have by chance, by the mean of both entropies.
+
+    Clusters of equal size share a term, so that the terms are pairs of different
+    sizes, of which there are about as many as elements at most; they are summed in Spark.
+    """
+    n = F.col("n")
+    xlogx = lambda c: F.sum(F.when(c > 0, c * F.log(c)))
+    t, p = table.groupBy("t").agg(F.sum("n").alias("n")), table.groupBy("p").agg(F.sum("n").alias("n"))
+    tt = t.agg(xlogx(n).alias("tx"), F.sum("n").alias("total"), F.count("*").alias("ts"))
+    one = tt.crossJoin(p.agg(xlogx(n).alias("px"), F.count("*").alias("ps"))).crossJoin(table.agg(xlogx(n).alias("bx")))
+    total = tt.first()["total"] or 0
+    rows, cols = t.groupBy(F.col("n").alias("a")).agg(F.count("*").alias("fa")), p.groupBy(F.col("n").alias("b")).agg(F.count("*").alias("fb"))
+    # Different sizes: at most the square root of twice the number of elements on either side.
+    sizes = rows.crossJoin(cols)
+    terms = sizes.mapInArrow(_expected(total), "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("expected"))
+    log_n = F.log("total")
+    h_t, h_p = log_n - F.col("tx") / F.col("total"), log_n - F.col("px") / F.col("total")
+    mi = log_n + (F.col("bx") - F.col("tx") - F.col("px")) / F.col("total")
+    ami = (mi - F.col("expected")) / ((h_t + h_p) / 2 - F.col("expected"))
+    same = ((F.col("ts") == 1) & (F.col("ps") == 1)) | ((F.col("ts") == F.col("total")) & (F.col("ps") == F.col("total")))
+    return one.crossJoin(terms).select(F.when(same, 1.0).otherwise(ami).alias("ami"))
+
+
+def _expected(total: int):  # noqa: ANN202
+    """For rows (a, fa, b, fb), sizes and how often they occur, their part of the expected mutual information in nats."""
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = [fa * fb * _expected_pair(a, b, total) for a, fa, b, fb in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["e"])
+    return run
+
+
+def _expected_pair(a: int, b: int, n: int) -> float:
     lg = math.lgamma
     out = 0.0
-    for a in rows:
-        for b in cols:
-            for k in range(max(1, a + b - n), min(a, b) + 1):
-                log_p = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1) - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1)
-                out += k / n * math.log(n * k / (a * b)) * math.exp(log_p)
+    for k in range(max(1, a + b - n), min(a, b) + 1):
+        log_p = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1) - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1)
+        out += k / n * math.log(n * k / (a * b)) * math.exp(log_p)
     return out
+
+
+def expected_mutual_information(rows: list[int], cols: list[int]) -> float:
+    """Expected mutual information (nats) of clusterings with the given sizes."""
+    n = sum(rows)
+    return sum(_expected_pair(a, b, n) for a in rows for b in cols)

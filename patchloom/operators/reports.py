@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.functions import similarity as sim
 from patchloom.functions import text as tx
 
-#: Rows of a side that may be broadcast as ranges; beyond it the as-of join sorts both sides together.
-BROADCAST_ROWS = 10_000
-
 
 def asof(rows: DataFrame, marks: DataFrame, at: str, since: str, value: str) -> DataFrame:
-    """rows with the value of the last mark at or before `at`; rows before the first mark are left out."""
-    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ranges = marks.select(F.col(since).alias("_from"), F.lead(since).over(Window.orderBy(since)).alias("_to"), value)
-        inside = (F.col(at) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
-        return rows.join(F.broadcast(ranges), inside).drop("_from", "_to")
-    # Days hold both sides together; a mark of an earlier day is carried on by the last value of the days before.
+    """rows with the value of the last mark at or before `at`; rows before the first mark are left out.
+
+    Days hold both sides together; a mark of an earlier day is carried on by the last value of the days before.
+    """
     last = marks.groupBy(F.to_date(since).alias("_day")).agg(F.max_by(value, since).alias("_last"))
+    # One row a day, whatever the number of rows.
     days = rows.select(F.to_date(at).alias("_day")).unionByName(last.select("_day")).distinct().join(last, "_day", "left")
     carried = days.select("_day", F.last("_last", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     both = rows.withColumn("_day", F.to_date(at)).withColumn("_at", F.col(at)).withColumn("_mark", F.lit(False))
@@ -38,14 +31,6 @@ def flow(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, F.when(F.col("_b").isNull(), "dropped").when(F.col("_a").isNull(), "new").otherwise("invariant").alias("flow"))
 
 
-def match_sections(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file, section) where a section's regular expression matches; distinct paths are matched once."""
-    names = [(r.section, r.r) for r in patterns.collect()]
-    hits = F.filter(F.array(*[F.when(F.col("path").rlike(r), F.lit(s)) for s, r in names]), lambda x: x.isNotNull())
-    found = files.select("path").distinct().select("path", F.explode(F.array_distinct(hits)).alias("section"))
-    return files.join(found, "path").select("file", "section").distinct()
-
-
 def durations(sides: DataFrame) -> DataFrame:
     g = sides.groupBy("cluster_id").agg(F.min("down").alias("a"), F.min("up").alias("b"), F.count("*").alias("num_up"))
     return g.select("cluster_id", F.to_date("a").alias("first_submission"), F.to_date("b").alias("integration"), "num_up", tx.floor_days(F.col("b"), F.col("a")).alias("dur"))
@@ -88,19 +73,17 @@ def ecdf(rows: DataFrame, value: str) -> DataFrame:
     return n.select(value, F.round(F.sum("n").over(upto) / F.sum("n").over(total), 6).alias("ecdf"))
 
 
-def rate_pairs(patches: DataFrame, block: list[str]) -> DataFrame:
-    """(a, b, msg, dlr) for patches that agree in the blocking columns.
+def within(rows: DataFrame, column: str, low: Column, high: Column, drop: dict[str, list]) -> DataFrame:
+    """Rows strictly between two bounds, without the given values of other columns."""
+    out = rows.filter((F.col(column) > low) & (F.col(column) < high))
+    for name, values in drop.items():
+        out = out.filter(F.col(name).isNull() | ~F.col(name).isin(values))
+    return out
 
-    Whole texts are compared. The cheap ratio of lines gates the costly score: pairs below it are rated 0.
-    """
-    a, b = patches.alias("a"), patches.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block])
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("x"), F.col("b.text").alias("y"), sim.lines_ratio(F.col("a.lines"), F.col("b.lines")).alias("dlr"))
-    gated = F.col("dlr") < 0.3
-    # The score is computed for every row, so gated ones pass no texts.
-    score = sim.message_similarity(F.when(~gated, F.col("x")), F.when(~gated, F.col("y")))
-    return pairs.select("a", "b", F.when(gated, 0.0).otherwise(score).alias("msg"), "dlr")
+
+def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows that the seed picks, the same ones for the same keys; every task hands on n rows at most."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
 def refresh(cached: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

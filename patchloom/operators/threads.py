@@ -1,4 +1,4 @@
-"""Reply threads: roots, foreign responses and pre-order listings from (id, parent)."""
+"""Reply threads: edges, roots, foreign responses and pre-order listings from (id, parent)."""
 
 from __future__ import annotations
 
@@ -7,42 +7,132 @@ from pyspark.sql import functions as F
 
 from patchloom.operators.clusters import _recovery_point
 
+#: Characters of a path step: the place of a mail among its parent's answers.
+STEP = 8
 
-def ancestors(mails: DataFrame) -> DataFrame:
-    """(id, ancestor, distance) for every mail and all mails above it, itself included at 0.
 
-    Steps double each round, so that rounds grow with the logarithm of the depth; a
-    pair that was met is not met again, which ends cycles.
+def reply_edges(mails: DataFrame) -> DataFrame:
+    """(parent, id) from (id, replies): every id a mail answers to but its own; a mail without one has a NULL parent.
+
+    Mails of one id count once, with the ids that any of them answers to.
     """
-    known = mails.select("id").distinct()
-    step = mails.filter("parent is not null and parent <> id").select("id", F.col("parent").alias("ancestor")).join(known.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").distinct()
-    reach = _recovery_point(step.select("id", "ancestor", F.lit(1).alias("distance")))
-    while True:
-        up = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
-        longer = reach.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).filter("id <> ancestor")
-        wider = _recovery_point(reach.unionByName(longer).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
-        if wider.count() == reach.count():
-            break
-        reach = wider
-    return wider.unionByName(known.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
+    one = mails.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("replies", F.array().cast("array<string>"))))).alias("replies"))
+    return one.select(F.explode_outer(F.array_remove("replies", F.col("id"))).alias("parent"), "id")
+
+
+def parents(mails: DataFrame) -> DataFrame:
+    """(id, parent) from (id, references): the first known id of the references, and where several are named but none is known, the smallest of them.
+
+    A mail that names no id, or a single unknown one, has no parent. `references` is in the order in which they are tried.
+    """
+    known = mails.select(F.col("id").alias("ref")).distinct().withColumn("known", F.lit(True))
+    asked = mails.select("id", F.posexplode(F.array_remove("references", F.col("id"))).alias("pos", "ref"))
+    found = asked.join(known, "ref", "left").groupBy("id").agg(
+        F.min(F.when(F.col("known"), F.struct("pos", "ref"))).alias("near"), F.count_distinct("ref").alias("n"), F.min("ref").alias("low")
+    )
+    parent = F.coalesce(F.col("near.ref"), F.when(F.col("n") > 1, F.col("low")))
+    return mails.select("id").distinct().join(found, "id", "left").select("id", parent.alias("parent"))
+
+
+def _up(mails: DataFrame) -> DataFrame:
+    """(id, parent) of known mails, a parent that is known too or NULL; cycles are cut at their smallest id, of several parents the smallest counts."""
+    known = mails.select(F.col("id").alias("parent")).distinct()
+    step = mails.filter("parent is not null and parent <> id").join(known, "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
+    up = _recovery_point(mails.select("id").distinct().join(step, "id", "left"))
+    # Pointer doubling with the smallest id on the way: who never comes to a root hangs below a cycle, and the smallest id of that is on every way round it.
+    jump = up.select("id", F.col("parent").alias("at"), F.least("id", "parent").alias("low"), F.col("parent").isNull().alias("done"))
+    n, far = up.count(), 1
+    while far <= n and not jump.filter("not done").isEmpty():
+        there = jump.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("low").alias("low2"))
+        jump = _recovery_point(jump.join(there, "at", "left").select("id", F.col("next").alias("at"), F.least("low", "low2").alias("low"), F.col("next").isNull().alias("done")))
+        far *= 2
+    if far <= n:
+        return up
+    # `at` of those is on the cycle, as they went further than there are mails; its `low` is the cycle's smallest id.
+    ends = jump.filter("not done").select(F.col("at").alias("id")).distinct().join(jump.select("id", "low"), "id").select(F.col("low").alias("id")).distinct().withColumn("cut", F.lit(True))
+    return _recovery_point(up.join(ends, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent")))
 
 
 def roots(mails: DataFrame) -> DataFrame:
-    """(id, root, depth): the furthest known mail above; in a cycle the smallest id of those."""
-    return ancestors(mails).groupBy("id").agg(F.max_by("ancestor", F.struct("distance", "ancestor")).alias("root"), F.max("distance").alias("depth"))
+    """(id, root, depth): the topmost known mail and the steps to it; rounds grow with the logarithm of the depth."""
+    return _roots(_up(mails))
 
 
-def foreign_response(mails: DataFrame) -> DataFrame:
-    """(id, foreign_response): somebody else wrote below the mail."""
-    author = mails.select("id", "author")
-    below = ancestors(mails).filter("distance > 0").join(author, "id").select("ancestor", F.col("author").alias("other"))
-    own = below.join(author.select(F.col("id").alias("ancestor"), "author"), "ancestor").groupBy(F.col("ancestor").alias("id")).agg(F.bool_or(F.col("other") != F.col("author")).alias("f"))
-    return author.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("f", F.lit(False)).alias("foreign_response"))
+def _roots(up: DataFrame) -> DataFrame:
+    """Pointer doubling: one row a mail in every round."""
+    jump = up.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    while True:
+        there = jump.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        jump = _recovery_point(jump.join(there, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        if jump.filter("moved").isEmpty():
+            return jump.select("id", "root", F.col("depth").cast("int").alias("depth"))
+        jump = jump.drop("moved")
+
+
+def expand(mails: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, depth) of all mails below the given ones (start), themselves included at 0."""
+    order = preorder(mails).select("id", "root", "position")
+    last = order.join(sizes(mails), "id").select("id", "root", "position", (F.col("position") + F.col("size") - 1).alias("end"))
+    deep = roots(mails).select("id", "depth")
+    top = starts.select(F.col("start").alias("id")).distinct().join(last, "id").join(deep, "id").select(F.col("id").alias("start"), "root", F.col("position").alias("from"), "end", F.col("depth").alias("above"))
+    met = order.join(top, "root").filter((F.col("position") >= F.col("from")) & (F.col("position") <= F.col("end")))
+    return met.join(deep, "id").select("start", "id", (F.col("depth") - F.col("above")).alias("depth"))
 
 
 def preorder(mails: DataFrame) -> DataFrame:
-    """(id, parent, root, position): mails of a thread in depth-first order, children by id."""
-    a = ancestors(mails)
-    path = a.groupBy("id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("distance", "ancestor")))), lambda x: x["ancestor"]).alias("path"))
-    rows = mails.select("id", "parent").join(path, "id").withColumn("root", F.col("path")[0])
+    """(id, parent, root, position): mails of a thread in depth-first order, children by id.
+
+    The path of a mail is made of places among answers, doubled like the
+    pointers to parents; its length grows with the depth, not with the thread.
+    """
+    up = _up(mails)
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("id"))
+    jump = up.filter("parent is not null").select("id", F.col("parent").alias("at"), F.lpad(place.cast("string"), STEP, "0").alias("path"))
+    jump = jump.unionByName(up.filter("parent is null").select("id", F.col("id").alias("at"), F.lit("").alias("path")))
+    while True:
+        there = jump.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("path").alias("before"))
+        jump = _recovery_point(jump.join(there, "at").select("id", F.col("next").alias("at"), F.concat("before", "path").alias("path"), (F.col("before") != "").alias("moved")))
+        if jump.filter("moved").isEmpty():
+            break
+        jump = jump.drop("moved")
+    told = mails.groupBy("id").agg(F.min("parent").alias("parent"))
+    rows = jump.select("id", F.col("at").alias("root"), "path").join(told, "id")
     return rows.select("id", "parent", "root", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("position"))
+
+
+def sizes(mails: DataFrame) -> DataFrame:
+    """(id, size): mails at or below each one, from the pre-order: a mail's subtree ends before the next one that is no deeper."""
+    order = preorder(mails).select("id", "root", "position").join(roots(mails).select("id", "depth"), "id")
+    up = _up(mails)
+    # Levels from the deepest up are as many as a thread is deep; doubling sums instead: every mail adds to all above it by powers of two.
+    total = order.select("id", F.lit(1).cast("long").alias("size"))
+    jump = up.filter("parent is not null").select("id", F.col("parent").alias("at"))
+    while not jump.isEmpty():
+        add = jump.join(total, "id").groupBy(F.col("at").alias("id")).agg(F.sum("size").alias("more"))
+        total = _recovery_point(total.join(add, "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        jump = _recovery_point(jump.alias("a").join(jump.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at")))
+    return total
+
+
+def foreign_response(mails: DataFrame) -> DataFrame:
+    """(id, foreign_response): somebody else wrote below the mail.
+
+    A subtree is a range of the pre-order, and it holds another author where it holds
+    more mails than those of the mail's own author in that range.
+    """
+    order = preorder(mails).select("id", "root", "position").join(mails.groupBy("id").agg(F.min("author").alias("author")), "id")
+    span = _recovery_point(order.join(sizes(mails), "id").select("id", "root", "author", "position", (F.col("position") + F.col("size") - 1).alias("end"), "size"))
+    # Running counts of an author's mails, looked up at the range's end.
+    marks = span.select("root", "author", F.col("position").alias("at"), F.lit(1).alias("own"), F.lit(None).cast("string").alias("id"))
+    asks = span.select("root", "author", F.col("end").alias("at"), F.lit(0).alias("own"), "id")
+    upto = F.sum("own").over(Window.partitionBy("root", "author").orderBy("at", F.desc("own")).rowsBetween(Window.unboundedPreceding, 0))
+    at_end = marks.unionByName(asks).withColumn("upto", upto).filter("id is not null").select("id", "upto")
+    rank = F.row_number().over(Window.partitionBy("root", "author").orderBy("position"))
+    own = span.withColumn("rank", rank).join(at_end, "id").select("id", (F.col("size") > F.col("upto") - F.col("rank") + 1).alias("foreign_response"))
+    return own
+
+
+def refresh_threads(known: DataFrame, present: DataFrame) -> DataFrame:
+    """Reply edges (parent, id) with those of the mails (id, replies) that have none yet."""
+    new = present.join(known.select("id").distinct(), "id", "left_anti")
+    return known.select("parent", "id").unionByName(reply_edges(new))
