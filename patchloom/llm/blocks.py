@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Columns that are multiplied out at a time.
+WIDTH = 4096
 
 
 def pair_blocks(members: DataFrame, bucket: str, member: str, size: str, block: int = BLOCK) -> DataFrame:
@@ -71,10 +73,19 @@ def already(lists: pa.ListArray, at: int) -> np.ndarray | None:
     shared = count[column] > 1
     if not shared.any():
         return None
-    held = np.zeros((len(lists), len(values)), dtype=np.float32)
-    held[row[low][shared], column[shared]] = 1
-    held = held[:, count > 1]
-    return held @ held.T > 0
+    # A value that few rows share marks their pairs directly; the others are multiplied out, some columns at a time.
+    place = np.cumsum(count > 1) - 1
+    row, column = row[low][shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    total = int(column[-1]) + 1
+    for at in range(0, total, WIDTH):
+        a, b = np.searchsorted(column, [at, at + WIDTH])
+        held = np.zeros((len(lists), min(WIDTH, total - at)), dtype=np.float32)
+        held[row[a:b], column[a:b] - at] = 1
+        out += held @ held.T
+    return out > 0
 
 
 def by_unit(work: DataFrame, verify: Callable[[pa.Table], tuple[np.ndarray, ...] | None], names: list[str], kinds: list[str]) -> DataFrame:

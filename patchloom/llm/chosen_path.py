@@ -142,9 +142,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = f"patchloom_sets_{uuid.uuid4().hex}"
     wanted_texts = docs.join(want_docs, "id").select("cid", "cls", "text").repartition(parts, "cid")
-    wanted_texts.mapInArrow(sets_of, "cid long, tokens binary").write.bucketBy(parts, "cid").option("compression", "zstd").saveAsTable(name)
-    sets = docs.sparkSession.table(name)
+    try:
+        wanted_texts.mapInArrow(sets_of, "cid long, tokens binary").write.bucketBy(parts, "cid").option("compression", "zstd").saveAsTable(name)
+        found = _find(spots, docs.sparkSession.table(name), threshold)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    near = found.groupBy("id").agg(F.sum("n").alias("n"))
+    by_class = classes.withColumn("id", F.xxhash64("cls"))
+    edges = found.select(F.col("id").alias("src"), F.col("joined").alias("dst"))
+    reps = by_class.select("id", "rep")
+    edges = edges.join(reps.select(F.col("id").alias("src"), F.col("rep").alias("a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("rep").alias("b")), "dst")
+    joined = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    told = by_class.join(near, "id", "left").drop("id").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = marked_ids.join(told, "cls", "left").groupBy("id").agg(F.sum(F.coalesce(F.coalesce("n", F.lit(0)) + F.col("copies") - 1, F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep", "id")).alias("class_id"))
+    return rows.select(F.col("id").alias(key), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+
 
+def _find(spots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Splits large buckets on further tokens, level by level, and compares what is in the leaves."""
     leaves = []
     for depth in range(MAX_DEPTH + 1):
         leaves.append(spots.filter("leaf"))
@@ -165,17 +180,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
         deeper = large.join(sets.withColumnRenamed("cid", "id"), "id").select("id", "copies", "size", "tokens", "paths").mapInArrow(split, "id long, copies long, size int, paths array<long>")
         spots = cut(_met(deeper.select("id", "copies", "size", F.explode("paths").alias("path")), depth + 1 == MAX_DEPTH))
 
-    found = _verify(leaves, sets, threshold)
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    near = found.groupBy("id").agg(F.sum("n").alias("n"))
-    by_class = classes.withColumn("id", F.xxhash64("cls"))
-    edges = found.select(F.col("id").alias("src"), F.col("joined").alias("dst"))
-    reps = by_class.select("id", "rep")
-    edges = edges.join(reps.select(F.col("id").alias("src"), F.col("rep").alias("a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("rep").alias("b")), "dst")
-    joined = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    told = by_class.join(near, "id", "left").drop("id").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = marked_ids.join(told, "cls", "left").groupBy("id").agg(F.sum(F.coalesce(F.coalesce("n", F.lit(0)) + F.col("copies") - 1, F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep", "id")).alias("class_id"))
-    return rows.select(F.col("id").alias(key), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+    return _verify(leaves, sets, threshold)
 
 
 def _met(spots: DataFrame, last: bool) -> DataFrame:
