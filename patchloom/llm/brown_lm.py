@@ -25,7 +25,7 @@ from patchloom.llm.common import crc_of_id, cut, drop_stash, only, stash
 CLASSES = 64
 FREQUENT = 8192
 ENDINGS = 2048
-#: Words whose counts are broadcast; the counts of the others are joined.
+#: So many words at most have their counts broadcast; the counts of the others are joined.
 BROADCAST_WORDS = 131_072
 ROUNDS = 4
 #: Weight of the class unigram in a class transition, and what is added to each word's count.
@@ -190,6 +190,18 @@ def exchange(bigrams: DataFrame, seeds: int, classes: int = CLASSES, rounds: int
     return of, table_of(right, of)
 
 
+def _least_count(counts: DataFrame, most: int = BROADCAST_WORDS) -> int:
+    """The smallest count such that at most `most` words occur so often or more often; words are counted by their counts, of which there are few."""
+    levels = counts.filter(F.col("word") != F.lit(END)).groupBy("n").agg(F.count("*").alias("words"))
+    least, held = 1 << 62, 0
+    for r in levels.orderBy(F.desc("n")).limit(most + 1).collect():
+        held += r.words
+        if held > most:
+            break
+        least = r.n
+    return least
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -206,7 +218,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     training = docs.filter(~held)
     counts = stash(count_words(training, text))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).collect()
+    least = _least_count(counts)
+    # At most BROADCAST_WORDS rows, by the choice of the least count.
+    top = sorted(counts.filter((F.col("word") != F.lit(END)) & (F.col("n") >= least)).collect(), key=lambda r: (-r.n, bytes(r.word)))
     known = [bytes(r.word) for r in top]
     frequent = known[:FREQUENT]
     bigrams = stash(count_bigrams(training, text, frequent))
@@ -265,7 +279,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scored = docs.mapInArrow(run, f"`{key}` {kind}, n_tokens long, hits long, base double, model double, words array<binary>, times array<int>")
     scored = stash(scored.withColumn("uid", F.monotonically_increasing_id()))
     rare = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    tail = counts.join(F.broadcast(spark.createDataFrame([(top[-1].n if len(top) == BROADCAST_WORDS else -1,)], "least long")), F.col("n") <= F.col("least")).drop("least")
+    tail = counts.filter((F.col("word") != F.lit(END)) & (F.col("n") < least))
     # Unknown words find no row and add log10(0 + 1) = 0.
     more = rare.join(tail, "word").groupBy("uid").agg(
         F.sum("times").alias("hits2"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base2"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ADDED))).alias("model2")
