@@ -43,10 +43,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     )
     whole = prefix.filter("last").groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.min("place").alias("n_turns"), F.count("*").alias("copies"))
     longer = prefix.filter("not last").select("conv_id", "key")
-    # Only prefixes that somebody logged as a whole can collapse anything.
-    covered = longer.join(whole.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("by"))
-    kept = whole.join(covered, "key", "left_anti")
-    counted = longer.join(whole.select("key", "copies"), "key").join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.max("copies").alias("copies"))
+    # A prefix that very many conversations share is one row before it meets anything.
+    kept = whole.join(longer.select("key").distinct(), "key", "left_anti")
+    counted = longer.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("key").agg(F.min("conv_id").alias("conv_id")).join(whole.select("key", "copies"), "key")
     extra = counted.groupBy("conv_id").agg(F.sum("copies").alias("more"))
     return kept.join(extra, "conv_id", "left").select("conv_id", "n_turns", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("snapshots"))
 
