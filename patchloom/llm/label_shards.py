@@ -75,6 +75,7 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     even = total / n
     groups = base.groupBy("g1", "g2").agg(F.count("*").alias("copies"), F.sum("size").alias("group_size"))
+    groups = cut(groups)
     linked = base.join(groups.filter("copies > 1"), ["g1", "g2"]).withColumn("at", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(n)).cast("int"))
     linked = cut(linked)
     # A group that fits easily moves as one; a large one moves document by document, as far as there is room.
@@ -83,7 +84,9 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     for turn in range(rounds):
         votes = linked.groupBy("g1", "g2", "at").agg(F.sum("size").alias("votes"))
         top = votes.groupBy("g1", "g2").agg(F.max(F.struct("votes", (-F.col("at")).alias("low"))).alias("best"))
-        asking = linked.join(top.select("g1", "g2", (-F.col("best.low")).alias("wish")), ["g1", "g2"])
+        # One row a group, cut off so that the documents of a large group can be spread over tasks where they meet it.
+        top = cut(top.select("g1", "g2", (-F.col("best.low")).alias("wish")))
+        asking = linked.join(top, ["g1", "g2"])
         flows = asking.groupBy("at", "wish").agg(F.sum("size").alias("bytes")).collect()
         load = dict.fromkeys(range(n), 0.0)
         into, out = dict(load), dict(load)
