@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from patchloom.llm.common import only
 
 WIDTH = 192
+#: Points of a canvas or frame; a header of a few bytes may claim 4,000 million, which no task could hold.
+MAX_POINTS = 1 << 24
 FRAME_ROWS = 256
 DELAY_CS = 10
 MAX_CODES = 4096
@@ -193,6 +195,8 @@ def decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MAX_POINTS:
+        raise ValueError("canvas too large")
     at = 13
     shared = None
     if flags & 0x80:
@@ -232,6 +236,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             raise ValueError("unknown block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at)
         at += 9
+        if w * h > MAX_POINTS:
+            raise ValueError("frame too large")
         colours = shared
         if flags & 0x80:
             n = 3 * (2 << (flags & 7))
@@ -280,7 +286,8 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
 def frames(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per frame of the GIFs in `media`: key, frame, start_ms, duration_ms, disposal, width, height, rgba, histogram, error.
 
-    A stream that is null or breaks off gives one row with `error` and a null frame after its whole frames.
+    A stream that is null, breaks off or claims more than MAX_POINTS points gives one
+    row with `error` and a null frame after its whole frames.
     """
     names = ("frame", "start_ms", "duration_ms", "disposal", "width", "height")
     kind = df.schema[key].dataType
@@ -303,7 +310,7 @@ def frames(df: DataFrame, key: str, media: str) -> DataFrame:
                         h, w = f.canvas.shape
                         rgba = ((f.canvas << 8) | (f.canvas >> 24)).astype(">u4").tobytes()
                         rows.append((f.number, f.start_cs * 10, f.delay_cs * 10, f.disposal, w, h, rgba, histogram(f.canvas).tolist(), None))
-                        if len(rows) >= 16:
+                        if len(rows) >= 16 or len(rows) * len(rgba) > 1 << 26:
                             yield flush(rows)
                             rows.clear()
                 except (ValueError, struct.error, IndexError) as e:
