@@ -88,13 +88,16 @@ def _is_held_out(key: str) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bound: int = MAX_TRAINING_ROWS) -> DataFrame:
     """label, text, turn: the labelled rows with the smallest hashes, `bound` at most, never held-out ones.
 
-    A key with contradicting labels counts as toxic; null labels are no labels.
+    A key with contradicting labels counts as toxic; null labels are no labels. A key that
+    repeats among the documents has a row for each, which count towards the bound.
     """
     known = only(labels, key, "toxic").filter(f"`{key}` is not null and toxic is not null").filter(~_is_held_out(key))
     known = known.groupBy(key).agg(F.max("toxic").alias("label")).withColumn("turn", F.xxhash64(F.lit("turn"), key))
     # The number of rows is bounded by the parameter, so the ids can be broadcast.
     first = F.broadcast(cut(known.orderBy("turn", key).limit(bound)))
-    return only(docs, key, text).join(first, key).select("label", F.col(text).alias("text"), "turn")
+    rows = only(docs, key, text).join(first, key).select("label", F.col(text).alias("text"), "turn")
+    # A key that repeats among the documents brings more rows than labels.
+    return rows.orderBy("turn", F.xxhash64("text"), "label").limit(bound)
 
 
 def fit(rows: DataFrame, bits: int = BITS) -> dict[int, float]:
