@@ -1,11 +1,11 @@
 """The stages of the corpus pipeline against brute force, each on the rows its predecessor kept."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -48,11 +48,6 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def _simhash(line: str) -> int:
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in set(line.split(" "))]
-    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
-
-
 def _groups(items: list, linked) -> dict:
     """The smallest index of the connected group of every item."""
     group = list(range(len(items)))
@@ -66,12 +61,14 @@ def _groups(items: list, linked) -> dict:
 def _without_lines(texts: dict[int, str]) -> dict[int, str]:
     norm = lambda x: " ".join(x.lower().split())
     distinct = sorted({norm(x) for t in texts.values() for x in t.split("\n")} - {""})
-    sim = {x: _simhash(x) for x in distinct}
+    letters = {x: Counter(x) for x in distinct}
 
     def linked(a, b):
-        if (sim[a] ^ sim[b]).bit_count() > fuzzy_lines.DISTANCE:
+        most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+        # Letters that only one of them has must be put in or taken out.
+        if max((letters[a] - letters[b]).total(), (letters[b] - letters[a]).total()) > most:
             return False
-        return _distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+        return _distance(a, b) <= most
 
     group, seen, out = _groups(distinct, linked), set(), {}
     for i in sorted(texts):
@@ -141,18 +138,32 @@ def test_all_that_is_left_is_packed(steps):
     assert got == want
 
 
-def test_equal_ends_leave_the_distance(spark):
+def test_pairs_are_verified_by_the_edit_rule(spark):
+    """The words that settle most pairs give the answer of the edit distance; the aligned words an upper bound of it."""
     rng, rows = random.Random(3), []
-    for i in range(300):
-        a = [rng.choice("abcé \U0001f600") for _ in range(rng.randint(0, 60))]
+    for i in range(400):
+        a = ["".join(rng.choice("abcé\U0001f600") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 25))]
         b = list(a)
-        for _ in range(rng.randint(0, 5)):
-            b.insert(rng.randint(0, len(b)), rng.choice("abé"))
-            b.pop(rng.randrange(len(b)))
-        rows.append((i, "".join(a), "".join(b)))
-    df = spark.createDataFrame(rows, "i int, a string, b string").withColumn("cut", fuzzy_lines.without_equal_ends(F.col("a"), F.col("b")))
-    assert df.filter(F.levenshtein("cut.a", "cut.b") != F.levenshtein("a", "b")).count() == 0
-    assert df.filter(F.length("cut.a") < F.length("a")).count() > 100
+        for _ in range(rng.randint(0, 4)):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            if kind == 0:
+                b[at] = rng.choice(["ab", "é", b[at][:-1] + "c"])
+            elif kind == 1:
+                b.insert(at, "abc"[: rng.randint(1, 3)])
+            elif len(b) > 1:
+                b.pop(at)
+        if a != b:
+            rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    texts = spark.createDataFrame(rows, "k long, norm string").withColumn("chars", F.length("norm"))
+    pairs = texts.filter("k % 2 = 0").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst"))
+    got = {r.src for r in fuzzy_lines.similar(pairs, texts).collect()}
+    line = dict(rows)
+    want = {k for k in line if k % 2 == 0 and _distance(line[k], line[k + 1]) <= int(max(len(line[k]), len(line[k + 1])) * 0.1 + 1e-9)}
+    assert got == want and 50 < len(want) < len(line) / 2 - 50
+    few = F.when(F.size("a") <= F.size("b"), F.col("a")).otherwise(F.col("b"))
+    more = F.when(F.size("a") <= F.size("b"), F.col("b")).otherwise(F.col("a"))
+    words = spark.createDataFrame([(k, line[k].split(" "), line[k + 1].split(" "), _distance(line[k], line[k + 1])) for k in line if k % 2 == 0], "k long, a array<string>, b array<string>, d int")
+    assert words.filter(fuzzy_lines._aligned(few, more, F.abs(F.size("a") - F.size("b"))) < F.col("d")).count() == 0
 
 
 def test_rows_without_id_stay(spark):
