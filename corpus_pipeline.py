@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import chosen_path, fuzzy_lines, hilbert_pack, toxicity
-from patchloom.llm.common import shared_dir, table
+from patchloom.llm.common import drop_stash, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,17 +44,21 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", without_toxic), ("line dedup", without_repeated_lines), ("n-gram Jaccard join", one_of_each_group), ("packing", packed)]
 
-#: Hashed n-gram weights, SimHash groups and BPE ids are beyond SQL; tests/llm compares the stages with brute force.
+#: Hashed n-gram weights, groups of similar lines and BPE ids are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order, each written to the shared folder and read again; what no later stage reads is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            path = f"{shared_dir(spark)}/patchloom-pipeline-{uuid.uuid4().hex}"
+            done.write.parquet(path)
+            done = spark.read.parquet(path)
+            if before is not None:
+                drop_stash(before)
+            before = done
+        docs = done
     return docs
