@@ -58,6 +58,11 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sweep(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: it does so when the driver collects its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; further columns of the input, whatever their names, do not take part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
