@@ -16,7 +16,9 @@ HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@ ?(.*)")
 SIMILARITY = re.compile(r"similarity index (\d+)%$")
 RENAME = re.compile(r"(?:rename|copy) (?:from|to) (.*)$")
 MERGE = re.compile(r"diff --cc .")
-CONTEXT_FORM = re.compile(r"\*\*\*\s*\d+,\s*\d+\s*\*\*\*")
+CONTEXT_FORM = re.compile(r"\*\*\*\s*(\d+)(?:,\s*\d+)?\s*\*\*\*")
+CONTEXT_SIDE = re.compile(r"---\s*(\d+)(?:,\s*\d+)?\s*---")
+CONTEXT_HEAD, CONTEXT_NEW = re.compile(r"\*\*\* (\S+)"), re.compile(r"--- (\S+)")
 
 HUNKS = "array<struct<heading: string, insertions: array<string>, deletions: array<string>, context: array<string>>>"
 SCHEMA = f"files array<struct<names: array<string>, similarity: int, hunks: {HUNKS}>>, affected array<string>, lines int, footer int, valid boolean"
@@ -80,12 +82,65 @@ def _header(cursor: _Cursor) -> tuple[tuple[str, ...], int] | None:
     return None
 
 
+def _weave(old: list[str], new: list[str]) -> list[str]:
+    """The two sides of a context hunk as unified lines; a side that is left out has the other's context."""
+    if not old:
+        old = ["  " + x[2:] for x in new if x[:1] == " "]
+    if not new:
+        new = ["  " + x[2:] for x in old if x[:1] == " "]
+    out, i, j = [], 0, 0
+    while i < len(old) or j < len(new):
+        if i < len(old) and old[i][:1] in "-!":
+            out.append("-" + old[i][2:])
+            i += 1
+        elif j < len(new) and new[j][:1] in "+!":
+            out.append("+" + new[j][2:])
+            j += 1
+        elif i < len(old) and j < len(new):
+            out.append(" " + old[i][2:])
+            i, j = i + 1, j + 1
+        else:
+            raise Broken("the sides of a hunk do not fit")
+    return out
+
+
+def unified(lines: list[str]) -> list[str]:
+    """A context diff as a unified one: `*** name` and `--- name` head a file, `***************` a hunk with its two sides."""
+    out, at = [], 0
+    while at < len(lines):
+        head, side = CONTEXT_HEAD.match(lines[at]), at + 1 < len(lines) and CONTEXT_NEW.match(lines[at + 1])
+        if head and side and not CONTEXT_FORM.match(lines[at]):
+            out += [f"--- {head[1]}", f"+++ {side[1]}"]
+            at += 2
+        elif lines[at].startswith("*" * 15):
+            heading = lines[at][15:].strip()
+            sides, starts = [[], []], [0, 0]
+            at += 1
+            for n, form in enumerate((CONTEXT_FORM, CONTEXT_SIDE)):
+                m = form.match(lines[at]) if at < len(lines) else None
+                if not m:
+                    raise Broken("a hunk without its sides")
+                starts[n], at = int(m[1]), at + 1
+                while at < len(lines) and lines[at][:2] in ("  ", "- ", "+ ", "! ", ""):
+                    sides[n].append(lines[at] or "  ")
+                    at += 1
+            woven = _weave(*sides)
+            size = [sum(x[0] != sign for x in woven) for sign in "+-"]
+            out += [f"@@ -{starts[0]},{size[0]} +{starts[1]},{size[1]} @@ {heading}".rstrip(), *woven]
+        else:
+            out.append(lines[at])
+            at += 1
+    return out
+
+
 def parse(lines: list[str] | None) -> dict:
-    """A row of SCHEMA. Merge diffs, context diffs and diffs that end within a hunk are not valid; no diff has no files."""
+    """A row of SCHEMA. Context diffs are read as unified ones; merge diffs and diffs that end within a hunk are not valid; no diff has no files."""
     cursor, files, total, footer = _Cursor(list(lines) if lines is not None else []), {}, 0, 0
     try:
-        if any(CONTEXT_FORM.match(x) for x in cursor.lines[:10]) or any(MERGE.match(x) for x in cursor.lines[:1]):
+        if any(MERGE.match(x) for x in cursor.lines[:1]):
             raise Broken("a form that is not read")
+        if any(CONTEXT_FORM.match(x) for x in cursor.lines[:10]):
+            cursor = _Cursor(unified(cursor.lines))
         while cursor.left():
             footer = cursor.left()
             head = _header(cursor)

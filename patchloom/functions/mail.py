@@ -71,13 +71,44 @@ def payload(mail: Message) -> tuple[Message, str] | None:
     return next(((mail, t) for t in texts if "From: " in t or "diff --" in t), None)
 
 
+def read_date(header: str | None) -> datetime | None:
+    """The date of a header, UTC where it names no zone: as mails write it, else as ISO 8601; NULL for anything else and for years before 1970."""
+    text = " ".join(str(header or "").split())
+    for read in (email.utils.parsedate_to_datetime, datetime.fromisoformat, lambda x: datetime.strptime(x, "%a %b %d %H:%M:%S %Y")):
+        try:
+            date = read(text)
+        except (TypeError, ValueError, IndexError, OverflowError):
+            continue
+        date = date.astimezone(UTC) if date.tzinfo else date.replace(tzinfo=UTC)
+        return date if date.year >= 1970 else None
+    return None
+
+
 def parse_date(header: str | None) -> datetime:
-    """The date of a header, UTC where it names no zone; the epoch for what is no date."""
-    try:
-        date = email.utils.parsedate_to_datetime(str(header))
-        return date.astimezone(UTC) if date.tzinfo else date.replace(tzinfo=UTC)
-    except (TypeError, ValueError, IndexError, OverflowError):
-        return EPOCH
+    """The date of a header; the epoch for what is no date."""
+    return read_date(header) or EPOCH
+
+
+def mail_date(mail: Message) -> datetime | None:
+    """The day of a mail that is to be filed: of its Date, of that with dots for colons in its time, of NNTP-Posting-Date or of the last Received; NULL where none can be read."""
+    last = lambda name: (mail.get_all(name) or [""])[-1]
+    date = str(last("Date"))
+    tries = [date, re.sub(r"(.*)\s(.*)\.(.*)\.(.*)\s(.*)", r"\1 \2:\3:\4 \5", " ".join(date.split())), str(last("NNTP-Posting-Date")), str(last("Received")).rpartition(";")[2]]
+    return next((found for t in tries if (found := read_date(t))), None)
+
+
+def file_mails(mails: DataFrame, raw: str = "raw") -> DataFrame:
+    """(day, md5, location, raw): every mail that has a date once, to be filed under YYYY/MM/DD/md5; the rest have no place."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            days = [mail_date(email.message_from_bytes(bytes(r or b""))) for r in frame["raw"]]
+            yield pd.DataFrame({"day": [d and d.date() for d in days], "raw": frame["raw"]})
+
+    rows = mails.select(F.col(raw).cast("binary").alias("raw")).filter("raw is not null").mapInPandas(batches, "day date, raw binary").filter("day is not null")
+    named = rows.withColumn("md5", F.md5("raw"))
+    # Equal mails are told by their hash before any text is moved.
+    return named.dropDuplicates(["md5"]).select("day", "md5", F.concat_ws("/", F.date_format("day", "yyyy/MM/dd"), "md5").alias("location"), "raw")
 
 
 def recipients(mail: Message) -> list[str]:

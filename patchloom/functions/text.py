@@ -121,6 +121,11 @@ def fold(name: Column) -> Column:
     return F.lower(F.replace(F.translate(name, *UMLAUTS), F.lit("ß"), F.lit("ss")))
 
 
+def decode(raw: Column) -> Column:
+    """Bytes as text: UTF-8, or ISO 8859-1 where they are none."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "iso-8859-1"))
+
+
 def glob_to_regex(pattern: Column) -> Column:
     """An anchored regular expression: * and ? stay within a path component, a trailing / takes everything below."""
     escaped = F.regexp_replace(pattern, r"([.+()\[\]{}|^$])", r"\\$1")

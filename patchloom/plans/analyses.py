@@ -612,3 +612,9 @@ def q24_versions(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
     done = p.agg(F.min("p_brand").alias("p_brand"))
     return p.join(done, "p_brand", "left_anti").groupBy(F.col("p_brand").alias("version"), F.col("p_size").alias("section")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.7), 6) AS p70, round(quantile_cont(d, 0.8), 6) AS p80, round(quantile_cont(d, 0.99), 6) AS p99, round(quantile_cont(d, 1.0), 6) AS p100 FROM (SELECT floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000)::DOUBLE AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey)")
+def a22_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    days = _both_sides(spark, d).select(tx.floor_days(F.col("up"), F.col("down")).alias("days"))
+    return rp.quantiles(days, "days", {"p50": 0.5, "p70": 0.7, "p80": 0.8, "p99": 0.99, "p100": 1.0})

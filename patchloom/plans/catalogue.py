@@ -16,6 +16,7 @@ from patchloom.functions import similarity as sim
 from patchloom.functions import text as tx
 from patchloom.operators import clusters as cl
 from patchloom.operators import reports as rp
+from patchloom.operators import sections as se
 from patchloom.operators import threads as th
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +102,10 @@ def p20_glob_regex(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, lower(replace(translate(s_name || 'Äß', 'äöüÄÖÜ', 'aouAOU'), 'ß', 'ss')) AS folded FROM supplier")
 def p22_fold_names(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "supplier").select("s_suppkey", tx.fold(F.concat("s_name", F.lit("Äß"))).alias("folded"))
+    """Every second name comes in ISO 8859-1, which is no UTF-8."""
+    name = F.concat("s_name", F.lit("Äß"))
+    raw = F.when(F.col("s_suppkey") % 2 == 0, F.encode(name, "iso-8859-1")).otherwise(F.encode(name, "UTF-8"))
+    return _t(spark, d, "supplier").select("s_suppkey", tx.fold(tx.decode(raw)).alias("folded"))
 
 
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM events GROUP BY 1")
@@ -218,9 +222,10 @@ def a3_upstream_duration(spark: SparkSession, d: str) -> DataFrame:
     return rp.durations(_both_sides(spark, d))
 
 
-@query(f"WITH {_SIDES} SELECT cluster_id, CAST(floor((epoch_us(max(up)) - epoch_us(min(up))) / 86400000000) AS INTEGER) AS history FROM sides GROUP BY 1")
+@query(f"WITH {_SIDES} SELECT cluster_id, CAST(floor((epoch_us(min(down)) - epoch_us(min(up))) / 86400000000) AS INTEGER) AS history FROM sides GROUP BY 1")
 def a4_history(spark: SparkSession, d: str) -> DataFrame:
-    return _both_sides(spark, d).groupBy("cluster_id").agg(tx.floor_days(F.max("up"), F.min("up")).alias("history"))
+    """First stack by first upstream date."""
+    return _both_sides(spark, d).groupBy("cluster_id").agg(tx.floor_days(F.min("down"), F.min("up")).alias("history"))
 
 
 @query(f"WITH {_MEMBERS} SELECT cluster_id, max(id) AS representative FROM members WHERE NOT is_upstream GROUP BY 1")
@@ -246,9 +251,11 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT DISTINCT l_partkey AS file, l_suppkey % 20 AS section, p_size AS lines FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT a.section AS src, b.section AS dst, CAST(sum(a.lines) AS BIGINT) AS lines, count(*) AS files FROM f a JOIN f b ON a.file = b.file AND a.section <= b.section GROUP BY 1, 2""")
+SELECT a.section AS src, b.section AS dst, CAST(sum(a.lines) AS BIGINT) AS lines, count(*) AS files FROM f a JOIN f b ON a.file = b.file AND a.section <= b.section GROUP BY 1, 2 UNION ALL SELECT n_nationkey, n_nationkey, 0, 0 FROM nation WHERE n_nationkey NOT IN (SELECT section FROM f)""")
 def a8_section_graph(spark: SparkSession, d: str) -> DataFrame:
-    return rp.section_graph(_sections(spark, d).select("file", (F.col("section") % 20).alias("section"), "lines").distinct())
+    """Twenty sections with files, and those of the nations that have none."""
+    graph = rp.section_graph(_sections(spark, d).select("file", (F.col("section") % 20).alias("section"), "lines").distinct())
+    return se.with_lonely(graph, _t(spark, d, "nation").select(F.col("n_nationkey").alias("section")))
 
 
 @query(f"WITH {_STACKS} SELECT grp, min(ord) AS oldest, max(ord) AS latest, min_by(ord, (day, ord)) AS first_released, max_by(ord, (day, ord)) AS last_released FROM stacks GROUP BY 1")
@@ -277,10 +284,11 @@ def a17_proportion(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("list")), 6))
 
 
-@query(f"WITH {_WEEKLY}, y AS (SELECT unnest(range(1994, 2004)) AS year) SELECT CAST(y.year AS INTEGER) AS year, round(avg(CAST(ignored AS INTEGER)), 6) AS rate FROM y LEFT JOIN weekly w ON w.year = y.year GROUP BY 1")
+@query(f"WITH {_WEEKLY}, y AS (SELECT unnest(range(1994, 2004)) AS year) SELECT CAST(y.year AS INTEGER) AS year, round(avg(CAST(ignored AS INTEGER)), 6) AS rate FROM y LEFT JOIN weekly w ON w.year = y.year GROUP BY 1 UNION ALL SELECT NULL, round(avg(CAST(ignored AS INTEGER)), 6) FROM weekly")
 def a18_ignore_rate(spark: SparkSession, d: str) -> DataFrame:
     years = spark.range(1994, 2004).select(F.col("id").cast("int").alias("year"))
-    return years.join(_weekly(spark, d), "year", "left").groupBy("year").agg(F.round(F.avg(F.col("ignored").cast("int")), 6).alias("rate"))
+    rate, w = F.round(F.avg(F.col("ignored").cast("int")), 6).alias("rate"), _weekly(spark, d)
+    return years.join(w, "year", "left").groupBy("year").agg(rate).unionByName(w.agg(rate).withColumn("year", F.lit(None).cast("int")))
 
 
 @query(f"""WITH {_WEEKLY}, lim AS (SELECT min(week) AS lo, max(week) AS hi FROM weekly), w AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week FROM lim), l AS (SELECT DISTINCT list FROM weekly)

@@ -136,3 +136,42 @@ def test_empty_tables(spark):
     assert ml.parse_mails(spark.createDataFrame([], "id long, raw binary, subject string")).count() == 0
     assert df.parse_diffs(spark.createDataFrame([], "id long, diff array<string>, files int")).count() == 0
     assert sc.parse_sections(spark.createDataFrame([], "version string, text string, section int")).count() == 0
+
+
+def test_context_diff_is_read_as_a_unified_one():
+    from patchloom.functions import diff
+
+    text = """*** a/x.c\t2001-01-01
+--- b/x.c\t2001-01-02
+***************
+*** 1,4 ****
+  one
+! two
+  three
+- four
+--- 1,4 ----
+  one
+! TWO
+! more
+  three
+***************
+*** 9 ****
+--- 10,11 ----
+  nine
++ ten"""
+    got = diff.parse(text.split("\n"))
+    hunk = got["files"][0]["hunks"][0]
+    assert got["valid"] and got["affected"] == ["x.c"] and got["lines"] == 5
+    assert (hunk["deletions"], hunk["insertions"], hunk["context"]) == (["two", "four"], ["TWO", "more", "ten"], ["one", "three", "nine"])
+    assert not diff.parse(["*** 1,2 ****", "***************"])["valid"]
+
+
+def test_mails_are_filed_by_their_dates(spark):
+    from patchloom.functions import mail
+
+    mails = [
+        b"Date: Tue, 3 Mar 2020 23:30:00 -0500\n\nx", b"Date: Tue, 3 Mar 2020 10.20.30 +0000\n\nx", b"Date: nonsense\nNNTP-Posting-Date: Wed, 4 Mar 2020 10:00:00 GMT\n\nx",
+        b"Received: from a by b; Thu, 5 Mar 2020 10:00:00 +0000\n\nx", b"Date: Tue, 3 Mar 1959 10:00:00 +0000\n\nx", b"\n", b"Received: from a by b; Thu, 5 Mar 2020 10:00:00 +0000\n\nx",
+    ]
+    got = sorted(r.location[:10] for r in mail.file_mails(spark.createDataFrame([(m,) for m in mails] + [(None,)], "raw binary")).collect())
+    assert got == ["2020/03/03", "2020/03/04", "2020/03/04", "2020/03/05"]
