@@ -76,7 +76,7 @@ def ecdf(rows: DataFrame, value: str) -> DataFrame:
 def quantiles(rows: DataFrame, value: str, which: dict[str, float]) -> DataFrame:
     """One row with the named quantiles, interpolated between neighbours; values are counted first, so that what is sorted has no repetitions."""
     n = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    return n.select(F.col(value).cast("double").alias("v"), "n").agg(*[F.round(F.percentile("v", q, "n"), 6).alias(name) for name, q in which.items()])
+    return n.select(F.col(value).cast("double").alias("v"), "n").agg(*[F.round(F.percentile("v", q, F.col("n")), 6).alias(name) for name, q in which.items()])
 
 
 def within(rows: DataFrame, column: str, low: Column, high: Column, drop: dict[str, list]) -> DataFrame:
