@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +61,11 @@ def drop_stash(df: DataFrame) -> None:
 
 
 def sweep(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: it does so when the driver collects its garbage."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of steps whose results are written: it does so a moment after the driver has collected its garbage."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
