@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm import brown_lm, chosen_path, cross_polytope, fuzzy_lines, gif, gumbel_pieces, hilbert_pack, label_shards, snapshots, toxicity, whitening
+from patchloom.llm import brown_lm, chosen_path, cross_polytope, fuzzy_lines, gif, gumbel_pieces, hilbert_pack, label_shards, prefix_trie, snapshots, toxicity, whitening
 from patchloom.llm.common import table
 
 
@@ -51,13 +51,17 @@ def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_gif, op2_cross_polytope, op3_chosen_path, op4_snapshots, op5_toxicity, op6_hilbert_pack, op7_gumbel_pieces, op8_fuzzy_lines, op9_brown_lm, op10_label_shards, op12_whitening)
+    for f in (op1_gif, op2_cross_polytope, op3_chosen_path, op4_snapshots, op5_toxicity, op6_hilbert_pack, op7_gumbel_pieces, op8_fuzzy_lines, op9_brown_lm, op10_label_shards, op11_prefix_trie, op12_whitening)
 }
 
 #: All pairs of the embeddings table by cosine in double precision.
@@ -88,4 +92,4 @@ n AS (SELECT a AS doc_id, count(*) AS n FROM l GROUP BY a)
 SELECT c.doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.doc_id = class_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_cross_polytope": _OP2, "op3_chosen_path": _OP3, "op4_snapshots": snapshots.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_cross_polytope": _OP2, "op3_chosen_path": _OP3, "op4_snapshots": snapshots.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
