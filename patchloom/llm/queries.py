@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm import brown_lm, chosen_path, cross_polytope, fuzzy_lines, gif, gumbel_pieces, hilbert_pack, label_shards, prefix_trie, snapshots, toxicity, whitening
+from patchloom.llm import brown_lm, chosen_path, cross_polytope, fuzzy_lines, gif, gumbel_pieces, hilbert_pack, label_shards, prefix_trie, snapshots, spot_signatures, toxicity, whitening
 from patchloom.llm.common import table
 
 
@@ -59,9 +59,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_gif, op2_cross_polytope, op3_chosen_path, op4_snapshots, op5_toxicity, op6_hilbert_pack, op7_gumbel_pieces, op8_fuzzy_lines, op9_brown_lm, op10_label_shards, op11_prefix_trie, op12_whitening)
+    for f in (op1_gif, op2_cross_polytope, op3_chosen_path, op4_snapshots, op5_toxicity, op6_hilbert_pack, op7_gumbel_pieces, op8_fuzzy_lines, op9_brown_lm, op10_label_shards, op11_prefix_trie, op12_whitening, op13_spot_signatures)
 }
 
 #: All pairs of the embeddings table by cosine in double precision.
