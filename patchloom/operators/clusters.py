@@ -4,25 +4,39 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def _recovery_point(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, which all executors must share; set spark.checkpoint.dir."""
-    spark: SparkSession = df.sparkSession
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where that is unset and all runs in one process, a temporary one."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="patchloom-"))
-    done = df.checkpoint(eager=True)
-    # A checkpoint keeps the estimated size of its plan; over many rounds of joins the product of sizes outgrows memory.
-    bare = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    return DataFrame(bare, spark)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="patchloom-"))
+    return sc.getCheckpointDir()
+
+
+def _recovery_point(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read from there: the plan ends there, and its real size is known to what follows."""
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark)}/patchloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """A recovery point, and how many of its rows there are (or meet the condition), counted as they are written."""
+    seen = Observation()
+    done = _recovery_point(df.observe(seen, F.count(F.lit(1) if which is None else F.when(which, 1)).alias("n")))
+    return done, seen.get["n"]
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -31,18 +45,19 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Every node takes the smallest label around it and then its label's label, so that
     rounds grow with the logarithm of the longest path.
     """
+    # Edges may be dear to make, and they are read in both directions.
+    edges = _recovery_point(edges.select("a", "b"))
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).filter("id <> other").distinct()
     both = _recovery_point(both)
-    labels = both.groupBy("id").agg(F.min("other").alias("low")).select("id", F.least("id", "low").alias("cluster_id"))
-    while True:
-        labels = _recovery_point(labels)
+    labels = _recovery_point(both.groupBy("id").agg(F.min("other").alias("low")).select("id", F.least("id", "low").alias("cluster_id")))
+    changed = 1
+    while changed:
         around = both.join(labels.select(F.col("id").alias("other"), F.col("cluster_id").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
         nearer = labels.join(around, "id").select("id", "cluster_id", F.least("cluster_id", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("cluster_id").alias("further"))
-        now = _recovery_point(nearer.join(jump, "next", "left").select("id", F.coalesce("further", "next").alias("cluster_id"), F.col("cluster_id").alias("was")))
+        now = nearer.join(jump, "next", "left").select("id", F.coalesce("further", "next").alias("cluster_id"), F.col("cluster_id").alias("was"))
+        now, changed = _counted(now, F.col("cluster_id") != F.col("was"))
         labels = now.select("id", "cluster_id")
-        if now.filter("cluster_id <> was").isEmpty():
-            break
     if nodes is None:
         return labels
     return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))

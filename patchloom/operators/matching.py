@@ -6,17 +6,16 @@ array of (name, similarity, hunks), hunks of (heading, insertions, deletions).
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import similarity as sim
 from patchloom.functions import text as tx
-from patchloom.operators.clusters import components, not_false_positive, representative
+from patchloom.operators.clusters import _recovery_point, components, not_false_positive, representative
+from patchloom.operators.similar import similar
 
 #: Files of one name are split into so many parts per side, so that a name in very many patches is worked on by many tasks.
 PARTS = 8
@@ -38,34 +37,16 @@ def block_exact(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) of different file names (file) whose token ratio is the threshold or more.
+    """(x, y) of file names (file) whose token ratio is the threshold or more.
 
-    A ratio of r bounds how much lengths and characters may differ, so names are joined by
-    classes of length, and a count of characters decides before the subsequence is looked for.
+    Names are compared by their sorted words, of which each different sequence counts once.
     """
-    low = threshold / (2 - threshold)
-    step = max(-float(np.log(max(low, 1e-6))), 1e-6)
-    norm = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)\W", " "), " "), lambda w: w != "")), " ")
-
-    def classed(rows: DataFrame, name: str) -> DataFrame:
-        out = rows.select(F.col("file").alias(name)).distinct().withColumn(f"{name}_norm", norm(F.col(name)))
-        return out.withColumn("class", F.floor(F.log(F.greatest(F.length(f"{name}_norm"), F.lit(1)) + 0.5) / step).cast("int"))
-
-    a = classed(left, "x").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    m, n = F.length("x_norm"), F.length("y_norm")
-    pairs = a.join(classed(right, "y"), "class").filter(F.least(m, n) * 2 >= (m + n) * (threshold - 0.005))
-
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, p, q = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i, (u, v) in enumerate(zip(p, q, strict=True)):
-                total = len(u) + len(v)
-                if u == v or 200 * sum((Counter(u) & Counter(v)).values()) >= total * (100 * threshold - 0.5) and sim.ratio(u, v) >= 100 * threshold - 1e-9:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.string()), pa.array([y[i] for i in keep], pa.string())], ["x", "y"])
-
-    return pairs.select("x", "y", "x_norm", "y_norm").mapInArrow(rated, "x string, y string")
+    words = F.filter(F.split(F.regexp_replace(F.lower("file"), r"(?U)\W", " "), " "), lambda w: w != "")
+    named = lambda rows, file, norm: _recovery_point(rows.filter("file is not null").select(F.col("file").alias(file), F.array_join(F.array_sort(words), " ").alias(norm)).distinct())
+    a, b = named(left, "f", "x"), named(right, "g", "y")
+    near = similar(a.select("x"), b.select("y"), 100 * threshold - 0.5, lambda r: r >= 100 * threshold - 1e-9)
+    same = a.join(b, F.col("x") == F.col("y"))
+    return same.select("f", "g").unionByName(near.join(a, "x").join(b, "y").select("f", "g")).toDF("x", "y")
 
 
 def block_fuzzy(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -193,35 +174,13 @@ def consecutive(lists: DataFrame) -> DataFrame:
     return lists.withColumn("b", after).filter("b is not null").select("list", F.col("id").alias("a"), "b")
 
 
-def sweep(ratings: DataFrame, grid: DataFrame) -> DataFrame:
-    """For every setting of the grid (weight, accept, lines_ratio) how many pairs it accepts; pairs are rated once.
-
-    The grid is a table of settings. Pairs are counted by their rounded ratings first, so that what meets the grid is bounded.
-    """
-    binned = ratings.groupBy(F.round("msg", 2).alias("msg"), F.round("diff", 2).alias("diff"), F.round("dlr", 2).alias("dlr")).agg(F.count("*").alias("n"))
-    hit = (F.col("dlr") >= F.col("lines_ratio")) & (F.col("weight") * F.col("msg") + (1 - F.col("weight")) * F.col("diff") >= F.col("accept") - 1e-9)
-    met = binned.crossJoin(F.broadcast(grid))
-    return met.groupBy("weight", "accept", "lines_ratio").agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long").alias("accepted"))
-
-
 def similar_subjects(commits: DataFrame, mails: DataFrame, threshold: int = 80) -> DataFrame:
     """(commit, mail) of subjects (id, subject) whose ratio is above the threshold, the commits being those without a mail.
 
-    Equal subjects are compared once. Lengths bound the ratio, so subjects meet by classes of length.
+    Equal subjects are compared once.
     """
-    low = (threshold / 100) / (2 - threshold / 100)
-    step = -float(np.log(low))
-    classed = lambda rows, name: rows.select(F.col("subject").alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn("class", F.floor(F.log(F.length(name) + 0.5) / step).cast("int"))
-    a = classed(commits, "x").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    m, n = F.length("x"), F.length("y")
-    pairs = a.join(classed(mails, "y"), "class").filter(F.least(m, n) * 200 > (m + n) * threshold).select("x", "y")
-
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in range(2))
-            keep = [i for i, (u, v) in enumerate(zip(x, y, strict=True)) if u == v or 200 * sum((Counter(u) & Counter(v)).values()) > threshold * (len(u) + len(v)) and sim.ratio(u, v) > threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], pa.string()) for z in (x, y)], ["x", "y"])
-
-    found = pairs.mapInArrow(rated, "x string, y string")
-    met = commits.select(F.col("id").alias("commit"), F.col("subject").alias("x")).join(found, "x")
-    return met.join(mails.select(F.col("id").alias("mail"), F.col("subject").alias("y")), "y").select("commit", "mail")
+    named = lambda rows, i, c: _recovery_point(rows.filter("subject is not null").select(F.col("id").alias(i), F.col("subject").alias(c)))
+    a, b = named(commits, "commit", "x"), named(mails, "mail", "y")
+    near = similar(a.select("x"), b.select("y"), threshold + 0.5, lambda r: r > threshold)
+    same = a.join(b, F.col("x") == F.col("y"))
+    return same.select("commit", "mail").unionByName(near.join(a, "x").join(b, "y").select("commit", "mail"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as tx
-from patchloom.operators.clusters import _recovery_point
+from patchloom.operators.clusters import _counted, _recovery_point
 
 #: Steps of a walk by which sections of a community are told from others.
 STEPS = 4
-ROUNDS = 40
 
 
 def valid_patterns(patterns: DataFrame, tree: DataFrame) -> DataFrame:
@@ -31,52 +32,96 @@ def valid_patterns(patterns: DataFrame, tree: DataFrame) -> DataFrame:
     return named.select(cols).unionByName(globs.select(cols)).unionByName(exact.select(cols)).unionByName(prefix.select(cols))
 
 
+def _by_globs(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """(path, section, kind) of wildcard entries: components of patterns are a trie, walked a level at a time by all paths.
+
+    Wildcards stay within a component. At every node each different component is tested once
+    against the wildcards that go on from there, so patterns meet what they share once, not every path.
+    """
+    parts = F.split(F.regexp_replace("pattern", "/$", ""), "/")
+    g = globs.select("section", "kind", parts.alias("parts"), F.endswith("pattern", F.lit("/")).alias("below")).withColumn("node", F.concat(F.lit("/"), F.array_join("parts", "/")))
+    edges = g.select("parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("i"))
+    name = lambda n: F.when(n == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), n), "/")))
+    edges = edges.select(name(F.col("i")).alias("node"), F.get("parts", F.col("i")).alias("part"), name(F.col("i") + 1).alias("child")).distinct()
+    edges = _recovery_point(edges.withColumn("wild", F.col("part").rlike(r"[*?]")))
+    deepest = g.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
+    at, hits = paths.select("path", F.split("path", "/").alias("parts"), F.lit("").alias("node")), []
+    for level in range(deepest):
+        at = at.filter(F.size("parts") > level).withColumn("part", F.get("parts", F.lit(level)))
+        seen = at.select("node", "part").distinct()
+        same = seen.join(edges.filter("not wild").select("node", "part", "child"), ["node", "part"])
+        like = seen.join(edges.filter("wild").select("node", tx.glob_to_regex(F.col("part")).alias("r"), "child"), "node").filter("part rlike r").select("node", "part", "child")
+        at = _recovery_point(at.join(same.unionByName(like), ["node", "part"]).select("path", "parts", F.col("child").alias("node")))
+        done = at.join(g.select("node", "section", "kind", "below"), "node").filter(F.when(F.col("below"), F.size("parts") > level + 1).otherwise(F.size("parts") == level + 1))
+        hits.append(done.select("path", "section", "kind"))
+    return reduce(DataFrame.unionByName, hits) if hits else paths.select("path", F.lit("").alias("section"), F.lit("").alias("kind")).filter(F.lit(False))
+
+
+def _by_names(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, section, kind) of name patterns: those with plain letters meet the paths that have the rarest three of them in a row.
+
+    Patterns without three plain characters in a row, or with choices, are few; every path is tested against the list of them.
+    """
+    p = names.select("section", "kind", F.regexp_replace("pattern", r"\*+$", "").alias("r"))
+    runs = lambda c, n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))), lambda x: F.length(x) == n)
+    plain = F.when(F.col("r").rlike(r"^[\w/ -]{3,}$"), runs(F.col("r"), 3)).otherwise(F.array().cast("array<string>"))
+    p = _recovery_point(p.withColumn("runs", plain))
+    have = paths.select("path", F.explode(F.array_distinct(runs(F.col("path"), 3))).alias("run"))
+    asked = p.select("r", F.explode("runs").alias("run")).distinct()
+    often = have.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "run").groupBy("r").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.count("*").alias("found"))
+    met = have.join(rarest, "run").select("path", "r").filter(F.contains("path", F.col("r")))
+    others = p.filter("size(runs) = 0").agg(F.collect_set("r").alias("l")).first()["l"]
+    if others:
+        every = paths.select("path", F.explode(F.filter(F.array(*[F.lit(x) for x in others]), lambda r: F.call_function("rlike", F.col("path"), r))).alias("r"))
+        met = met.unionByName(every)
+    return met.join(p, "r").select("path", "section", "kind")
+
+
 def files_of_sections(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """(path, section): an X entry excludes a file; else an F entry takes it, else an N entry.
 
     patterns as `valid_patterns` gives them. Exact entries and folders are equal
-    joins on the path and on the folders above it. Only entries with wildcards
-    and name patterns are tested one by one, on different paths, by a join
-    whose right side has as many rows as there are such patterns.
+    joins on the path and on the folders above it, wildcards are walked component by
+    component, and name patterns meet paths by letters in a row.
     """
-    paths = files.select("path").distinct()
+    paths = _recovery_point(files.select("path").distinct())
     above = paths.select("path", F.explode(F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), i -> concat_ws('/', slice(split(path, '/'), 1, i)))")).alias("bare"))
-    p = patterns.select("section", "kind", "bare", "pattern", "form").distinct()
+    p = _recovery_point(patterns.select("section", "kind", "bare", "pattern", "form").distinct())
     exact = paths.withColumn("bare", F.col("path")).join(p.filter("form = 'exact'"), "bare").select("path", "section", "kind")
     below = above.filter("bare <> path").join(p.filter("form = 'prefix'"), "bare").select("path", "section", "kind")
-    # Wildcards meet paths by the first component where that is written out.
-    first = F.regexp_extract("pattern", r"^([^*?/]+)/", 1)
-    globs = p.filter("form = 'glob'").select("section", "kind", tx.glob_to_regex(F.col("pattern")).alias("r"), F.nullif(first, F.lit("")).alias("top"))
-    names = p.filter("form = 'name'").select("section", "kind", F.concat(F.lit(".*"), F.regexp_replace("pattern", r"\*+$", ""), F.lit(".*")).alias("r"), F.lit(None).cast("string").alias("top"))
-    wild = globs.unionByName(names)
-    rooted = paths.withColumn("top", F.split_part("path", F.lit("/"), F.lit(1))).join(wild.filter("top is not null"), "top").filter("path rlike r").select("path", "section", "kind")
-    anywhere = paths.join(wild.filter("top is null").drop("top"), F.expr("path rlike r")).select("path", "section", "kind")
-    hits = exact.unionByName(below).unionByName(rooted).unionByName(anywhere)
+    hits = exact.unionByName(below).unionByName(_by_globs(paths, p.filter("form = 'glob'"))).unionByName(_by_names(paths, p.filter("form = 'name'")))
     g = hits.groupBy("path", "section").agg(F.count_if(F.col("kind") == "X").alias("x"), F.count_if(F.col("kind") != "X").alias("hit"))
     return g.filter("x = 0 and hit > 0").select("path", "section")
 
 
-def hops(edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
+def hops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, hops): fewest edges between any section a and any section b of the pairs (key, a, b); keys without a path are left out.
 
-    Breadth first from all sections that are asked for at once; only new
-    (source, section) pairs go on in a round.
+    Breadth first from all sections that are asked for at once, until all pairs have met or nothing new is
+    reached. What is next to a front is in it, in the one before or new, so no more than two fronts are looked at in a round.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     both = _recovery_point(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
-    seen = _recovery_point(pairs.select(F.col("a").alias("source"), F.col("a").alias("at")).distinct().withColumn("hops", F.lit(0)))
-    front = seen
-    for step in range(1, most + 1):
+    asked, left = _counted(pairs.select(F.col("a").alias("source"), F.col("b").alias("at")).distinct().withColumn("asked", F.lit(True)))
+    marked = lambda reached, step: reached.join(asked, ["source", "at"], "left").select("source", "at", F.coalesce("asked", F.lit(False)).alias("asked"), F.lit(step).alias("hops"))
+    front, met = _counted(marked(asked.select("source", F.col("source").alias("at")).distinct(), 0), F.col("asked"))
+    fronts, step = [front], 0
+    while met < left:
+        step += 1
         reached = front.join(both, F.col("at") == F.col("u")).select("source", F.col("v").alias("at")).distinct()
-        front = _recovery_point(reached.join(seen.select("source", "at"), ["source", "at"], "left_anti").withColumn("hops", F.lit(step)))
-        if front.isEmpty():
+        for known in fronts[-2:]:
+            reached = reached.join(known, ["source", "at"], "left_anti")
+        front, hit = _counted(marked(reached, step), F.col("asked"))
+        if not hit and front.isEmpty():
             break
-        seen = _recovery_point(seen.unionByName(front))
-    met = pairs.join(seen.select(F.col("source").alias("a"), F.col("at").alias("b"), "hops"), ["a", "b"])
-    return met.groupBy("key").agg(F.min("hops").alias("hops"))
+        fronts.append(front)
+        met += hit
+    found = reduce(DataFrame.unionByName, fronts).filter("asked").select(F.col("source").alias("a"), F.col("at").alias("b"), "hops")
+    return pairs.join(found, ["a", "b"]).groupBy("key").agg(F.min("hops").alias("hops"))
 
 
-def communities(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """(section, group) by random walks of STEPS steps: sections are merged with the neighbour whose walks are most alike.
 
     In every round each group looks at the groups it has edges with, by the squared
@@ -98,7 +143,8 @@ def communities(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total = e.agg(F.sum("w")).first()[0] or 0.0
     label = _recovery_point(degree.select(F.col("u").alias("section"), F.col("u").alias("group")))
     best, best_q = label, -1.0
-    for _ in range(rounds):
+    # The two groups that are nearest of all choose each other, so every round merges some.
+    while True:
         named = label.select(F.col("section").alias("u"), F.col("group").alias("g"))
         links = both.join(named, "u").join(named.select(F.col("u").alias("v"), F.col("g").alias("h")), "v").groupBy("g", "h").agg(F.sum("w").alias("w"))
         links = _recovery_point(links)

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.operators.clusters import _recovery_point
-
-#: Characters of a path step: the place of a mail among its parent's answers.
-STEP = 8
+from patchloom.operators.clusters import _counted, _recovery_point
 
 
 def reply_edges(mails: DataFrame) -> DataFrame:
@@ -41,10 +38,10 @@ def _up(mails: DataFrame) -> DataFrame:
     up = _recovery_point(mails.select("id").distinct().join(step, "id", "left"))
     # Pointer doubling with the smallest id on the way: who never comes to a root hangs below a cycle, and the smallest id of that is on every way round it.
     jump = up.select("id", F.col("parent").alias("at"), F.least("id", "parent").alias("low"), F.col("parent").isNull().alias("done"))
-    n, far = up.count(), 1
-    while far <= n and not jump.filter("not done").isEmpty():
+    n, far, left = up.count(), 1, 1
+    while far <= n and left:
         there = jump.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("low").alias("low2"))
-        jump = _recovery_point(jump.join(there, "at", "left").select("id", F.col("next").alias("at"), F.least("low", "low2").alias("low"), F.col("next").isNull().alias("done")))
+        jump, left = _counted(jump.join(there, "at", "left").select("id", F.col("next").alias("at"), F.least("low", "low2").alias("low"), F.col("next").isNull().alias("done")), ~F.col("done"))
         far *= 2
     if far <= n:
         return up
@@ -61,56 +58,63 @@ def roots(mails: DataFrame) -> DataFrame:
 def _roots(up: DataFrame) -> DataFrame:
     """Pointer doubling: one row a mail in every round."""
     jump = up.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    while True:
+    moved = 1
+    while moved:
         there = jump.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        jump = _recovery_point(jump.join(there, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if jump.filter("moved").isEmpty():
-            return jump.select("id", "root", F.col("depth").cast("int").alias("depth"))
-        jump = jump.drop("moved")
+        jump, moved = _counted(jump.join(there, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "more"), F.col("more") > 0)
+        jump = jump.drop("more")
+    return jump.select("id", "root", F.col("depth").cast("int").alias("depth"))
 
 
 def expand(mails: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id, depth) of all mails below the given ones (start), themselves included at 0."""
-    order = preorder(mails).select("id", "root", "position")
-    last = order.join(sizes(mails), "id").select("id", "root", "position", (F.col("position") + F.col("size") - 1).alias("end"))
-    deep = roots(mails).select("id", "depth")
-    top = starts.select(F.col("start").alias("id")).distinct().join(last, "id").join(deep, "id").select(F.col("id").alias("start"), "root", F.col("position").alias("from"), "end", F.col("depth").alias("above"))
+    up = _up(mails)
+    size = _sizes(up)
+    order = _preorder(up, size)
+    last = order.join(size, "id").withColumn("end", F.col("position") + F.col("size") - 1)
+    top = starts.select(F.col("start").alias("id")).distinct().join(last, "id").select(F.col("id").alias("start"), "root", F.col("position").alias("from"), "end", F.col("depth").alias("above"))
     met = order.join(top, "root").filter((F.col("position") >= F.col("from")) & (F.col("position") <= F.col("end")))
-    return met.join(deep, "id").select("start", "id", (F.col("depth") - F.col("above")).alias("depth"))
+    return met.select("start", "id", (F.col("depth") - F.col("above")).alias("depth"))
 
 
 def preorder(mails: DataFrame) -> DataFrame:
-    """(id, parent, root, position): mails of a thread in depth-first order, children by id.
-
-    The path of a mail is made of places among answers, doubled like the
-    pointers to parents; its length grows with the depth, not with the thread.
-    """
+    """(id, parent, root, position): mails of a thread in depth-first order, children by id; rows as many as mails, however deep they lie."""
     up = _up(mails)
-    place = F.row_number().over(Window.partitionBy("parent").orderBy("id"))
-    jump = up.filter("parent is not null").select("id", F.col("parent").alias("at"), F.lpad(place.cast("string"), STEP, "0").alias("path"))
-    jump = jump.unionByName(up.filter("parent is null").select("id", F.col("id").alias("at"), F.lit("").alias("path")))
-    while True:
-        there = jump.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("path").alias("before"))
-        jump = _recovery_point(jump.join(there, "at").select("id", F.col("next").alias("at"), F.concat("before", "path").alias("path"), (F.col("before") != "").alias("moved")))
-        if jump.filter("moved").isEmpty():
-            break
-        jump = jump.drop("moved")
     told = mails.groupBy("id").agg(F.min("parent").alias("parent"))
-    rows = jump.select("id", F.col("at").alias("root"), "path").join(told, "id")
-    return rows.select("id", "parent", "root", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("position"))
+    return _preorder(up, _sizes(up)).join(told, "id").select("id", "parent", "root", "position")
+
+
+def _preorder(up: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, root, position, depth) by a sum along the way to the root.
+
+    A mail comes one place after its parent, and after all below its elder siblings. So its place is the sum, over
+    itself and all above it, of one and what the siblings before it hold; sums on the way up are doubled like pointers, two numbers a mail.
+    """
+    placed = up.join(sizes, "id")
+    elder = F.coalesce(F.sum("size").over(Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = placed.filter("parent is not null").select("id", F.col("parent").alias("at"), (elder + 1).alias("place"), F.lit(1).cast("long").alias("depth"))
+    jump = below.unionByName(placed.filter("parent is null").select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("depth")))
+    moved = 1
+    while moved:
+        there = jump.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("place").alias("more"), F.col("depth").alias("steps"))
+        jump, moved = _counted(jump.join(there, "at").select("id", F.col("next").alias("at"), (F.col("place") + F.col("more")).alias("place"), (F.col("depth") + F.col("steps")).alias("depth"), "steps"), F.col("steps") > 0)
+        jump = jump.drop("steps")
+    return jump.select("id", F.col("at").alias("root"), (F.col("place") + 1).alias("position"), F.col("depth").cast("int").alias("depth"))
 
 
 def sizes(mails: DataFrame) -> DataFrame:
-    """(id, size): mails at or below each one, from the pre-order: a mail's subtree ends before the next one that is no deeper."""
-    order = preorder(mails).select("id", "root", "position").join(roots(mails).select("id", "depth"), "id")
-    up = _up(mails)
-    # Levels from the deepest up are as many as a thread is deep; doubling sums instead: every mail adds to all above it by powers of two.
-    total = order.select("id", F.lit(1).cast("long").alias("size"))
-    jump = up.filter("parent is not null").select("id", F.col("parent").alias("at"))
-    while not jump.isEmpty():
+    """(id, size): mails at or below each one."""
+    return _sizes(_up(mails))
+
+
+def _sizes(up: DataFrame) -> DataFrame:
+    """Sums doubled like the pointers: every mail adds to the one above it, then to that two above, four above and so on."""
+    total = up.select("id", F.lit(1).cast("long").alias("size"))
+    jump, left = _counted(up.filter("parent is not null").select("id", F.col("parent").alias("at")))
+    while left:
         add = jump.join(total, "id").groupBy(F.col("at").alias("id")).agg(F.sum("size").alias("more"))
         total = _recovery_point(total.join(add, "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        jump = _recovery_point(jump.alias("a").join(jump.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at")))
+        jump, left = _counted(jump.alias("a").join(jump.alias("b"), F.col("a.at") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.at").alias("at")))
     return total
 
 
@@ -120,8 +124,10 @@ def foreign_response(mails: DataFrame) -> DataFrame:
     A subtree is a range of the pre-order, and it holds another author where it holds
     more mails than those of the mail's own author in that range.
     """
-    order = preorder(mails).select("id", "root", "position").join(mails.groupBy("id").agg(F.min("author").alias("author")), "id")
-    span = _recovery_point(order.join(sizes(mails), "id").select("id", "root", "author", "position", (F.col("position") + F.col("size") - 1).alias("end"), "size"))
+    up = _up(mails)
+    size = _sizes(up)
+    order = _preorder(up, size).join(mails.groupBy("id").agg(F.min("author").alias("author")), "id")
+    span = _recovery_point(order.join(size, "id").select("id", "root", "author", "position", (F.col("position") + F.col("size") - 1).alias("end"), "size"))
     # Running counts of an author's mails, looked up at the range's end.
     marks = span.select("root", "author", F.col("position").alias("at"), F.lit(1).alias("own"), F.lit(None).cast("string").alias("id"))
     asks = span.select("root", "author", F.col("end").alias("at"), F.lit(0).alias("own"), "id")

@@ -6,16 +6,20 @@ their items the sections they touch, suppliers sections, customers committers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import characteristics as ch
 from patchloom.functions import text as tx
 from patchloom.operators import clusters as cl
+from patchloom.operators import decisions as de
 from patchloom.operators import evolution as ev
 from patchloom.operators import matching as mt
 from patchloom.operators import reports as rp
 from patchloom.operators import sections as se
+from patchloom.operators import sweeps as sw
 from patchloom.operators import threads as th
 from patchloom.plans.catalogue import ORACLES, QUERIES, _MAILS, _MEMBERS, _SIDES, _STACKS, _WEEKLY, _both_sides, _mails, _members, _stacks, _t, _weekly, query
 from patchloom.sinks import files as out
@@ -252,17 +256,105 @@ def w1_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q4_rate_clusterstats(spark: SparkSession, d: str) -> DataFrame:
-    """Blocking, rating, decision, known false positives, clusters, statistics."""
+    """Blocking, rating, decisions in order with known false positives, clusters, statistics."""
     m = _members(spark, d).select("id", F.col("id").alias("cluster_id"), "is_upstream")
-    decided = mt.decide(_rated(spark, d), 0.5, 0.8, 0.6, 0.4)
-    return cl.statistics(mt.cluster(decided, m).join(m.select("id", "is_upstream"), "id"))
+    wrong = _t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("origin"), (F.col("doc_id") + 1).alias("dest"))
+    _, clusters = de.decide_in_order(_rated(spark, d), m, 0.5, 0.8, 0.6, 0.4, false_positives=wrong)
+    return cl.statistics(clusters.join(m.select("id", "is_upstream"), "id"))
+
+
+def _part_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as patches: each is rated with those that follow it in its brand and among parts of its name, by size and price."""
+    p = _t(spark, d, "part")
+    in_brand = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))
+    in_name = F.lead("p_partkey").over(Window.partitionBy("p_name").orderBy("p_retailprice", "p_partkey"))
+    pairs = p.select(F.col("p_partkey").alias("a"), in_brand.alias("x"), in_name.alias("y")).select("a", F.explode(F.array("x", "y")).alias("b")).filter("b is not null").distinct()
+    side = lambda k: p.select(F.col("p_partkey").alias(k), F.col("p_size").alias(f"s{k}"), F.col("p_retailprice").alias(f"p{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", (1 - F.abs(F.col("sa") - F.col("sb")) / 50).alias("msg"), (1 - F.abs(F.col("pa") - F.col("pb")) / 200).alias("diff"), (F.least("sa", "sb") / F.greatest("sa", "sb")).alias("dlr"))
+
+
+_PARTS = """p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS pos, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type, p_size) AS c, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS nb, lead(p_partkey) OVER (PARTITION BY p_name ORDER BY p_retailprice, p_partkey) AS nn FROM part),
+pr AS (SELECT DISTINCT a, b FROM (SELECT p_partkey AS a, unnest([nb, nn]) AS b FROM p) WHERE b IS NOT NULL),
+rt AS (SELECT a, b, 1 - abs(x.p_size - y.p_size) / 50 AS msg, 1 - abs(x.p_retailprice - y.p_retailprice) / 200 AS diff, least(x.p_size, y.p_size) / greatest(x.p_size, y.p_size) AS dlr, x.pos AS pa, y.pos AS pb, x.p_retailprice > y.p_retailprice AS late, quality FROM pr JOIN p x ON x.p_partkey = a JOIN p y ON y.p_partkey = b LEFT JOIN labels ON doc_id = a)"""
+
+
+def _ordered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions on rated parts; labels answer what is asked."""
+    p, ratings = _t(spark, d, "part"), _part_ratings(spark, d)
+    alike = Window.partitionBy("p_name", "p_brand", "p_type", "p_size")
+    members = p.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(alike).alias("cluster_id"), (F.col("p_type") == "PROMO").alias("is_upstream"))
+    wrong = p.select(F.col("p_partkey").alias("origin"), F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).alias("dest"), "p_size").filter("p_size = 50 and dest is not null")
+    manual = ratings.join(_t(spark, d, "labels").select(F.col("doc_id").alias("a"), (F.col("quality") == 1).alias("accepted")), "a").select("a", "b", "accepted")
+    dates = p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("commit_date"))
+    return de.decide_in_order(ratings, members, 0.5, 0.8, 0.5, 0.3, wrong.select("origin", "dest"), dates, manual)
+
+
+#: A replay, one pair a step: the labels of all parts are a list that every accepted pair rewrites; pairs that are asked for come again at the end.
+_REPLAY = f"""{_PARTS},
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY best, a, -(msg + diff), b) AS k FROM (SELECT *, max(msg + diff) OVER (PARTITION BY a) AS best FROM rt)),
+fp AS MATERIALIZED (SELECT coalesce(list({{'o': x.pos, 'd': y.pos}}), []) AS l FROM p x JOIN p y ON y.p_partkey = x.nb WHERE x.p_size = 50 AND x.p_type <> 'PROMO'),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list(CAST(c AS INTEGER) ORDER BY pos) FROM p) AS l, CAST([] AS BIGINT[]) AS asked, CAST(NULL AS VARCHAR) AS outcome
+  UNION ALL
+  SELECT k, CASE WHEN outcome LIKE 'accepted%' THEN list_transform(l, lambda x: CASE WHEN x = lb THEN la ELSE x END) ELSE l END, CASE WHEN outcome = 'manual' AND k <= n THEN list_append(asked, k) ELSE asked END, outcome
+  FROM (SELECT r.k + 1 AS k, r.l, r.asked, n, la, lb, CASE
+      WHEN r.k >= n AND NOT list_contains(r.asked, o.k) THEN NULL WHEN r.k >= n AND la = lb THEN 'settled' WHEN r.k >= n THEN CASE quality WHEN 1 THEN 'accepted_by_hand' WHEN 0 THEN 'declined_by_hand' ELSE 'manual' END
+      WHEN dlr < 0.3 THEN 'skipped_by_lines' WHEN la = lb THEN 'related' WHEN len(list_filter(fp.l, lambda f: r.l[f.o] = la AND r.l[f.d] = lb)) > 0 THEN 'false_positive'
+      WHEN late THEN 'skipped_by_date' WHEN 0.5 * msg + (1 - 0.5) * diff >= 0.8 - 1e-9 THEN 'accepted' WHEN 0.5 * msg + (1 - 0.5) * diff < 0.5 - 1e-9 THEN 'declined' ELSE 'manual' END AS outcome
+    FROM r, (SELECT count(*) AS n FROM o), fp, o, LATERAL (SELECT r.l[o.pa] AS la, r.l[o.pb] AS lb) WHERE r.k < 2 * n AND o.k = r.k % n + 1)),
+done AS (SELECT o.a, o.b, coalesce(y.outcome, x.outcome) AS outcome FROM o JOIN r x ON x.k = o.k JOIN r y ON y.k = o.k + (SELECT count(*) FROM o))"""
+
+
+@query(f"WITH RECURSIVE {_REPLAY} SELECT * FROM done")
+def w2_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """W2, F17 and M6 as clusters grow: what became of every pair when its turn came."""
+    return _ordered(spark, d)[0]
+
+
+@query(f"WITH RECURSIVE {_REPLAY} SELECT outcome, count(*) AS n FROM done GROUP BY 1")
+def a24_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return de.counts(_ordered(spark, d)[0])
+
+
+@query(f"WITH RECURSIVE {_REPLAY}, f AS (SELECT unnest(l) AS label, generate_subscripts(l, 1) AS pos FROM r WHERE k = (SELECT max(k) FROM r)) SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY label) AS cluster_id FROM f JOIN p USING (pos)")
+def q4_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters that the decisions leave."""
+    return _ordered(spark, d)[1]
 
 
 @query()
 def m9_sweep(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.sql("SELECT w / 10 AS weight, t / 10 AS accept, r / 10 AS lines_ratio FROM (SELECT explode(sequence(0, 10)) AS w) CROSS JOIN (SELECT explode(sequence(5, 10)) AS t) CROSS JOIN (SELECT explode(sequence(0, 9, 3)) AS r)")
-    grid = grid.select(*[F.col(c).cast("double") for c in grid.columns])
-    return mt.sweep(_rated(spark, d), grid)
+    """All five axes: file names and headings are rated anew, the other three are read off the ratings."""
+    p, truth = _patches(spark, d), _members(spark, d).select("id", F.col("cluster_id").alias("truth"))
+    made = []
+    for filename in (1.0, 0.9):
+        pairs = mt.block_exact(p, p) if filename == 1 else mt.block_fuzzy(p, p, filename)
+        for heading in (1.0, 0.7):
+            rated = mt.rate(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), p, 0.0, heading, filename)
+            made.append(rated.withColumns({"filename": F.lit(filename), "heading": F.lit(heading)}))
+    ratings = reduce(DataFrame.unionByName, made)
+    return sw.sweep(ratings, truth, [w / 10 for w in range(0, 11, 5)], [t / 100 for t in range(60, 101, 10)], [0.0, 0.5, 0.9], by=["filename", "heading"])
+
+
+_SWEPT = f"""{_PARTS},
+g AS (SELECT * FROM (SELECT unnest([0.0, 0.5, 1.0]) AS weight), (SELECT unnest([0.0, 0.5]) AS lines_ratio), (SELECT unnest([0.5, 0.8, 0.95]) AS accept)),
+e AS MATERIALIZED (SELECT weight, lines_ratio, accept, a, b FROM g, rt WHERE dlr >= lines_ratio AND weight * msg + (1 - weight) * diff >= accept - 1e-9),
+w AS (SELECT weight, lines_ratio, accept, p_partkey AS id, p_partkey AS l FROM g, part UNION
+      SELECT w.weight, w.lines_ratio, w.accept, w.id, CASE WHEN e.a = w.l THEN e.b ELSE e.a END FROM w JOIN e ON e.weight = w.weight AND e.lines_ratio = w.lines_ratio AND e.accept = w.accept AND w.l IN (e.a, e.b)),
+c AS MATERIALIZED (SELECT weight, lines_ratio, accept, id, min(l) AS c, p_type AS t FROM w JOIN part ON p_partkey = id GROUP BY ALL),
+tp AS (SELECT weight, lines_ratio, accept, sum(n * (n - 1) / 2) AS tp FROM (SELECT weight, lines_ratio, accept, c, t, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+sp AS (SELECT weight, lines_ratio, accept, sum(n * (n - 1) / 2) AS sp, count(*) AS clusters FROM (SELECT weight, lines_ratio, accept, c, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT sum(n * (n - 1) / 2) AS st FROM (SELECT count(*) AS n FROM part GROUP BY p_type)),
+k AS (SELECT weight, lines_ratio, accept, count(*) AS accepted FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_SWEPT} SELECT CAST(weight AS DOUBLE) AS weight, CAST(lines_ratio AS DOUBLE) AS lines_ratio, CAST(accept AS DOUBLE) AS accept, coalesce(accepted, 0) AS accepted, clusters, round(tp / nullif(sp, 0), 9) AS precision, round(tp / st, 9) AS recall FROM sp JOIN tp USING (weight, lines_ratio, accept) LEFT JOIN k USING (weight, lines_ratio, accept), st")
+def m9_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts rated by size and price: clusters, precision and recall against their types at every setting."""
+    truth = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("truth"))
+    out = sw.sweep(_part_ratings(spark, d), truth, [0.0, 0.5, 1.0], [0.5, 0.8, 0.95], [0.0, 0.5])
+    return out.select("weight", "lines_ratio", "accept", "accepted", "clusters", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 @query("WITH p AS (SELECT doc_id AS id, lang || '/' || source || '/' || split_part(text, chr(10), 1) AS f FROM documents WHERE text IS NOT NULL), c AS (SELECT count(*) AS c FROM p a JOIN p b ON a.f = b.f AND a.id <> b.id), n AS (SELECT count(DISTINCT id) AS n FROM p) SELECT c AS candidates, n * n AS possible, CASE WHEN c > 0 THEN n * n / c END AS factor FROM c, n")
@@ -276,7 +368,20 @@ def a1_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return mt._files(_patches(spark, d)).groupBy("file").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
 
 
-@query()
+def _lcs_sql(strings: str) -> str:
+    """Common subsequences of all pairs of strings (f, s), a row of the table a step."""
+    return f"""nm AS MATERIALIZED ({strings}),
+st AS (
+  SELECT a.f AS x, b.f AS y, a.s AS u, b.s AS v, 0 AS i, list_transform(range(0, length(b.s) + 1), lambda k: 0) AS r FROM nm a, nm b
+  UNION ALL
+  SELECT x, y, u, v, i + 1, list_transform(range(1, length(v) + 2), lambda j: greatest(r[j], coalesce(list_max(list_transform(range(1, j), lambda k: CASE WHEN v[k] = u[i + 1] THEN r[k] + 1 ELSE 0 END)), 0))) FROM st WHERE i < length(u)),
+rated AS (SELECT x, y, round_even(200 * r[length(v) + 1] / (length(u) + length(v)), 0) AS ratio FROM st WHERE i = length(u))"""
+
+
+_WORDS = r"array_to_string(list_sort(list_filter(string_split_regex(lower({}), '\W+'), lambda w: w <> '')), ' ')"
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(f'SELECT min(p_partkey) AS f, {_WORDS.format("p_type || ' ' || p_brand")} AS s FROM part GROUP BY p_type, p_brand')} SELECT x AS a, y AS b FROM rated WHERE x < y AND ratio >= 90")
 def j2_block_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Parts as patches of one file each, the type with brand as its name; similar names from 0.9 on."""
     name = F.concat("p_type", F.lit(" "), "p_brand")
@@ -284,10 +389,10 @@ def j2_block_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return mt.block_fuzzy(p, p, 0.9)
 
 
-@query()
+@query(f"WITH RECURSIVE {_lcs_sql(f'SELECT DISTINCT p_name AS f, {_WORDS.format("p_name")} AS s FROM part')} SELECT x, y FROM rated WHERE ratio >= 85")
 def j4_name_mapping(spark: SparkSession, d: str) -> DataFrame:
-    types = _t(spark, d, "part").select(F.col("p_type").alias("file")).distinct()
-    return mt.similar_names(types, types, 0.85)
+    names = _t(spark, d, "part").select(F.col("p_name").alias("file")).distinct()
+    return mt.similar_names(names, names, 0.85)
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: What parts mails in a mailbox.
 DELIMITER = "\nFrom "
@@ -25,6 +26,34 @@ def stream_mbox(spark: SparkSession, path: str) -> DataFrame:
     return _mails(spark.readStream.option("lineSep", DELIMITER).text(path)).dropDuplicates(["md5"])
 
 
+def sync_mbox(spark: SparkSession, path: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Brings a store of mails up to date with the mailbox files of a folder; a run takes what arrived since the last one.
+
+    The store, not the stream, knows which mails it has, so that nothing is kept in memory
+    however long it goes on: each batch is joined against the hashes of the store, which lie in folders by their first
+    digits. A batch writes one folder of the store, named by its number and left out when it is looked up, so that a batch
+    that is run again after a failure gives what it would have given.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(["md5"]).withColumn("part", F.substring("md5", 1, 2))
+        known = stored(batch.sparkSession, store)
+        if known is not None:
+            fresh = fresh.join(known.filter(F.col("batch") != number).select("part", "md5"), ["part", "md5"], "left_anti")
+        fresh.select("raw", "md5", "part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
+
+    mails = _mails(spark.readStream.option("lineSep", DELIMITER).text(path))
+    return mails.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """raw, md5, batch, part of a store's mails; None where nothing was stored yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("raw binary, md5 string, batch long, part string").parquet(store)
+
+
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """raw, md5: every different file below a folder, one mail each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

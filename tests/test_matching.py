@@ -62,15 +62,6 @@ def test_decisions_answers_and_false_positives(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 9: 5, 6: 6, 7: 7, 8: 8}
 
 
-def test_sweep_counts_accepted(spark):
-    rng = random.Random(1)
-    rows = [(round(rng.random(), 2), round(rng.random(), 2), round(rng.random(), 2)) for _ in range(300)]
-    r = spark.createDataFrame([(i, i, *x) for i, x in enumerate(rows)], "a long, b long, msg double, diff double, dlr double")
-    grid = spark.createDataFrame([(w, t, d) for w in (0.0, 0.5, 1.0) for t in (0.3, 0.8) for d in (0.0, 0.4)], "weight double, accept double, lines_ratio double")
-    for x in mt.sweep(r, grid).collect():
-        assert x.accepted == sum(d >= x.lines_ratio and x.weight * m + (1 - x.weight) * f >= x.accept - 1e-9 for m, f, d in rows)
-
-
 def test_similar_subjects(spark):
     words = ["fix", "fixes", "memory", "leak", "in", "driver", "drivers", "add", "support"]
     rng = random.Random(3)

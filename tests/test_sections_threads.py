@@ -26,6 +26,37 @@ def test_files_of_sections(spark):
     }
 
 
+def test_patterns_equal_a_test_of_every_file(spark):
+    rng = random.Random(12)
+    part = lambda: rng.choice(["net", "usb", "drivers", "a.c", "core.h", "x1", "Makefile", "net-usb"])
+    paths = sorted({"/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(200)})
+    wild = lambda w: rng.choice([w, w, "*", w[0] + "*", "?" + w[1:], "*" + w[-2:]])
+    globs = sorted({"/".join(wild(part()) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "/"]) for _ in range(120)})
+    globs = [g for g in globs if "*" in g or "?" in g]
+    names = ["usb", "net-usb", "u.b", "(usb|x1)/", "core*", "x1", "[ad]\\.c", "ers/n", "gone from here"]
+    rows = [(f"s{i}", "F", g) for i, g in enumerate(globs)] + [(f"n{i}", "N", n) for i, n in enumerate(names)] + [("s0", "X", "net/"), ("s1", "X", "*/usb")]
+    tree = spark.createDataFrame([(x,) for x in paths], "path string")
+    patterns = se.valid_patterns(spark.createDataFrame(rows, "section string, kind string, pattern string"), tree)
+
+    def hit(kind, pattern, path):
+        if kind == "N":
+            return re.search(pattern.rstrip("*"), path) is not None
+        p, q = pattern.rstrip("/").split("/"), path.split("/")
+        return (len(q) > len(p) if pattern.endswith("/") else len(q) == len(p)) and all(fnmatch.fnmatchcase(y, x) for x, y in zip(p, q, strict=False))
+
+    sections = {s for s, _, _ in rows}
+    want = {(x, s) for x in paths for s in sections if any(hit(k, g, x) for t, k, g in rows if t == s and k != "X") and not any(hit(k, g, x) for t, k, g in rows if t == s and k == "X")}
+    out = se.files_of_sections(tree, patterns)
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 200
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_hops_of_a_long_chain(spark):
+    edges = spark.range(66).selectExpr("id AS src", "id + 1 AS dst")
+    pairs = spark.createDataFrame([(1, 0, 66), (2, 1, 60), (3, 5, 5)], "key int, a long, b long")
+    assert {r.key: r.hops for r in se.hops(edges, pairs).collect()} == {1: 66, 2: 59, 3: 0}
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "src string, dst string")
     pairs = spark.createDataFrame([(1, "a", "d"), (1, "a", "c"), (2, "a", "a"), (3, "a", "y"), (4, "y", "x")], "key int, a string, b string")
@@ -89,6 +120,13 @@ def test_threads(spark, mails):
     assert {(r.start, r.id, r.depth) for r in th.expand(df, starts).collect()} == {(s, q, len(paths[q]) - len(paths[s])) for s in ("m00", "d10") for q in below[s]}
 
 
+def test_a_long_chain_takes_two_numbers_a_mail(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("format_string('m%05d', id) AS id", "CASE WHEN id > 0 THEN format_string('m%05d', id - 1) END AS parent")
+    got = th.preorder(rows).agg(F.min(F.col("position") - F.substring("id", 2, 5).cast("int")), F.max(F.col("position") - F.substring("id", 2, 5).cast("int")), F.count("*")).first()
+    assert tuple(got) == (1, 1, n)
+
+
 def test_parents_and_edges(spark):
     rows = [("a", []), ("b", ["x", "a"]), ("c", ["y", "x"]), ("d", ["x"]), ("e", ["e", "b", "a"])]
     df = spark.createDataFrame(rows, "id string, references array<string>")

@@ -175,3 +175,24 @@ def test_mails_are_filed_by_their_dates(spark):
     ]
     got = sorted(r.location[:10] for r in mail.file_mails(spark.createDataFrame([(m,) for m in mails] + [(None,)], "raw binary")).collect())
     assert got == ["2020/03/03", "2020/03/04", "2020/03/04", "2020/03/05"]
+
+
+def test_a_store_is_brought_up_to_date(spark, tmp_path):
+    box, store, cp = (str(tmp_path / x) for x in ("in", "store", "cp"))
+    mail = lambda i: f"From x Mon\nSubject: {i}\n\nbody {i}\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a").write_text("\n".join(map(mail, [1, 2, 2, 3])))
+    mbox.sync_mbox(spark, box, store, cp).awaitTermination()
+    assert mbox.stored(spark, store).count() == 3
+    (tmp_path / "in/b").write_text("\n".join(map(mail, [3, 4])))
+    mbox.sync_mbox(spark, box, store, cp).awaitTermination()
+    mbox.sync_mbox(spark, box, store, cp).awaitTermination()
+    rows = mbox.stored(spark, store).collect()
+    assert len(rows) == 4 and sorted({r.batch for r in rows}) == [0, 1]
+    # The last batch is taken back, as after a failure before it was noted: it is run again and gives the same.
+    (tmp_path / "cp/commits/1").unlink()
+    for crc in (tmp_path / "cp/commits").glob(".1.*"):
+        crc.unlink()
+    mbox.sync_mbox(spark, box, store, cp).awaitTermination()
+    again = mbox.stored(spark, store).collect()
+    assert sorted((r.md5, r.batch) for r in again) == sorted((r.md5, r.batch) for r in rows)
