@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import similarity as sim
 from patchloom.functions import text as tx
-from patchloom.operators.clusters import _recovery_point, components, not_false_positive, representative
+from patchloom.operators.clusters import _recovery_point, components, not_false_positive, representative, rip_up
+from patchloom.operators.decisions import decide_in_order
 from patchloom.operators.similar import similar
 
 #: Files of one name are split into so many parts per side, so that a name in very many patches is worked on by many tasks.
@@ -163,6 +164,31 @@ def successor_pairs(stacks: DataFrame, patches: DataFrame) -> DataFrame:
     return here.join(there, ["ord", "file"]).filter("a <> b").select("a", "b").distinct()
 
 
+def analyse_successors(stacks: DataFrame, patches: DataFrame, lines_ratio: float, heading: float, filename: float) -> DataFrame:
+    """(a, b, msg, diff, dlr) of the candidates between every stack and the next one, each unordered pair once."""
+    pairs = successor_pairs(stacks, patches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rate(pairs, patches, lines_ratio, heading, filename)
+
+
+def compare(lists: DataFrame, patches: DataFrame, lines_ratio: float, heading: float, filename: float) -> DataFrame:
+    """(list, a, b, msg, diff, dlr) of neighbours in each list (list, pos, id); a pair that several lists have is rated once."""
+    near = consecutive(lists)
+    return near.join(rate(near.select("a", "b"), patches, lines_ratio, heading, filename), ["a", "b"]).select("list", "a", "b", "msg", "diff", "dlr")
+
+
+def rip_up_and_rate(members: DataFrame, clusters: DataFrame, patches: DataFrame, weight: float, accept: float, ask: float, lines_ratio: float, heading: float = 1.0, filename: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(a, b, outcome) and (id, cluster_id): the given clusters (cluster_id) taken apart, their members rated among each other anew and decided on.
+
+    Only patches of one cluster that touch a file of the same name are compared; all other clusters stay as they are.
+    """
+    inside = members.join(clusters.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    files = _files(patches).join(inside.select("id", "cluster_id"), "id")
+    a, b = files.select(F.col("id").alias("a"), "cluster_id", "file"), files.select(F.col("id").alias("b"), "cluster_id", "file")
+    pairs = a.join(b, ["cluster_id", "file"]).filter("a < b").select("a", "b").distinct()
+    ratings = _recovery_point(rate(pairs, patches, lines_ratio, heading, filename))
+    return decide_in_order(ratings, rip_up(members, clusters), weight, accept, ask, lines_ratio)
+
+
 def representatives(members: DataFrame, key: Column, patches: DataFrame) -> DataFrame:
     """The patches that stand for their clusters."""
     return patches.join(representative(members, key).select(F.col("representative").alias("id")), "id", "left_semi")

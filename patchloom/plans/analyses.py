@@ -431,6 +431,53 @@ def q6_consecutive(spark: SparkSession, d: str) -> DataFrame:
     return mt.consecutive(_t(spark, d, "documents").select(F.col("source").alias("list"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id")))
 
 
+def _part_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as short patches: name and type are the message, the brand is the file, the type the heading of its one hunk, whose line is the name."""
+    hunk = F.array(F.struct(F.col("p_type").alias("heading"), F.array("p_name").alias("insertions"), F.array().cast("array<string>").alias("deletions")))
+    return _t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.array("p_brand").alias("affected"), F.concat_ws(" ", "p_name", "p_type").alias("message"), F.col("p_size").alias("lines"),
+        F.array(F.struct(F.col("p_brand").alias("name"), F.lit(0).alias("similarity"), hunk.alias("hunks"))).alias("files"),
+    )
+
+
+_TEXTS = f"SELECT DISTINCT f, {_WORDS.format('f')} AS s FROM (SELECT p_name AS f FROM part UNION SELECT p_name || ' ' || p_type FROM part)"
+#: Ratings of the pairs (a, b) that `pr` names.
+_RATINGS = """pt AS (SELECT p_partkey AS id, p_brand, p_type, p_name, p_name || ' ' || p_type AS m, p_size FROM part),
+ratings AS MATERIALIZED (SELECT a, b, CASE WHEN dlr < 0.4 THEN 0 ELSE mr / 100 END AS msg, CASE WHEN dlr < 0.4 OR NOT same THEN 0 ELSE hr / 100 END AS diff, dlr
+  FROM (SELECT DISTINCT a, b, g.ratio AS mr, h.ratio AS hr, x.p_brand = y.p_brand AND x.p_type = y.p_type AS same, least(x.p_size, y.p_size) / greatest(x.p_size, y.p_size) AS dlr
+        FROM pr JOIN pt x ON x.id = a JOIN pt y ON y.id = b JOIN rated g ON g.x = x.m AND g.y = y.m JOIN rated h ON h.x = x.p_name AND h.y = y.p_name))"""
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(_TEXTS)}, pr AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey), {_RATINGS} SELECT * FROM ratings")
+def m5_part_rating(spark: SparkSession, d: str) -> DataFrame:
+    """M0 and M5 on short patches, where SQL can follow."""
+    p = _part_patches(spark, d)
+    return mt.rate(mt.block_exact(p, p).filter("a < b"), p, 0.4, 1.0, 1.0)
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(_TEXTS)}, o AS (SELECT p_size AS ord, lead(p_size) OVER (ORDER BY p_size) AS nxt FROM (SELECT DISTINCT p_size FROM part)), pr AS (SELECT DISTINCT least(x.p_partkey, y.p_partkey) AS a, greatest(x.p_partkey, y.p_partkey) AS b FROM part x JOIN o ON o.ord = x.p_size JOIN part y ON y.p_brand = x.p_brand AND y.p_size IN (o.ord, o.nxt) AND x.p_partkey <> y.p_partkey), {_RATINGS} SELECT * FROM ratings")
+def q1_rated(spark: SparkSession, d: str) -> DataFrame:
+    """`analyse succ`: parts of a size against those of the next one, rated."""
+    stacks = _t(spark, d, "part").select(F.col("p_size").alias("ord"), F.col("p_partkey").alias("id"))
+    return mt.analyse_successors(stacks, _part_patches(spark, d), 0.4, 1.0, 1.0)
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(_TEXTS)}, near AS (SELECT p_brand AS list, p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS b FROM part), pr AS (SELECT a, b FROM near WHERE b IS NOT NULL), {_RATINGS} SELECT near.list, ratings.* FROM near JOIN ratings USING (a, b)")
+def q6_rated(spark: SparkSession, d: str) -> DataFrame:
+    """`compare`: neighbours in a list with their scores."""
+    order = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey"))
+    lists = _t(spark, d, "part").select(F.col("p_brand").alias("list"), order.alias("pos"), F.col("p_partkey").alias("id"))
+    return mt.compare(lists, _part_patches(spark, d), 0.4, 1.0, 1.0)
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(_TEXTS)}, c AS (SELECT p_partkey AS id, p_brand, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS c, bool_or(p_size = 1) OVER (PARTITION BY p_brand, p_type) AS hit FROM part), pr AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.c = y.c AND x.id < y.id WHERE x.hit), {_RATINGS}, e AS (SELECT a, b FROM ratings WHERE dlr >= 0.4 AND 0.5 * msg + (1 - 0.5) * diff >= 0.8 - 1e-9), w AS (SELECT id, id AS l FROM c WHERE hit UNION SELECT w.id, CASE WHEN e.a = w.l THEN e.b ELSE e.a END FROM w JOIN e ON w.l IN (e.a, e.b)) SELECT id, min(l) AS cluster_id FROM w GROUP BY id UNION ALL SELECT id, c FROM c WHERE NOT hit")
+def q5_ripped(spark: SparkSession, d: str) -> DataFrame:
+    """`ripup`: clusters of brand and type with a part of size 1 are taken apart and rated anew."""
+    p = _t(spark, d, "part")
+    members = p.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(Window.partitionBy("p_brand", "p_type")).alias("cluster_id"), F.lit(False).alias("is_upstream"), "p_size")
+    return mt.rip_up_and_rate(members.drop("p_size"), members.filter("p_size = 1").select("cluster_id"), _part_patches(spark, d), 0.5, 0.8, 0.6, 0.4)[1]
+
+
 # ---------------------------------------------------------------- clusterings
 
 
