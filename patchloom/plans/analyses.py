@@ -22,6 +22,7 @@ from patchloom.operators import sections as se
 from patchloom.operators import sweeps as sw
 from patchloom.operators import threads as th
 from patchloom.plans.catalogue import ORACLES, QUERIES, _MAILS, _MEMBERS, _SIDES, _STACKS, _WEEKLY, _both_sides, _mails, _members, _stacks, _t, _weekly, query
+from patchloom.sinks import exports as ex
 from patchloom.sinks import files as out
 
 # ---------------------------------------------------------------- messages
@@ -674,6 +675,54 @@ def q18_check_mbox(spark: SparkSession, d: str) -> DataFrame:
     return ev.with_mails(m.filter("is_upstream").select("id"), m, m.filter(~F.col("is_upstream")).select("id"))
 
 
+def _group_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Customers are patch groups, their orders commits in the stacks of quarters; items came upstream when they were shipped."""
+    s = _stacks(spark, d)
+    stacks = s.select(F.concat(F.lit("o"), "commit").alias("commit"), F.concat(F.lit("v"), "ord").alias("version"), F.concat(F.lit("b"), F.expr("ord div 4")).alias("base"), "ord", "day")
+    items = _t(spark, d, "lineitem").select(F.concat(F.lit("i"), "l_orderkey", F.lit("."), "l_linenumber").alias("id"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    up = items.join(s.select("commit", "grp"), "commit").select("id", F.col("grp").alias("cluster_id"), F.lit(True).alias("is_upstream"))
+    down = s.select(F.concat(F.lit("o"), "commit").alias("id"), F.col("grp").alias("cluster_id"), F.lit(False).alias("is_upstream"))
+    return ex.patch_group_tables(down.unionByName(up), stacks, items.select("id", "ts"))
+
+
+@query(f"WITH {_STACKS} SELECT grp AS patch_group, 'o' || commit AS commit_hash, 'v' || ord AS stack_version, 'b' || (ord // 4) AS base_version FROM stacks")
+def q10_patches(spark: SparkSession, d: str) -> DataFrame:
+    return _group_tables(spark, d)["patches"]
+
+
+@query(f"WITH {_STACKS} SELECT grp AS patch_group, 'v' || min(ord) AS oldest_version, 'v' || max(ord) AS latest_version, 'v' || min_by(ord, (day, ord)) AS first_released_in, 'v' || max_by(ord, (day, ord)) AS last_released_in FROM stacks GROUP BY 1")
+def q10_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    return _group_tables(spark, d)["occurrence"]
+
+
+@query(f"WITH {_STACKS}, u AS (SELECT grp, min((l_shipdate, 'i' || l_orderkey || '.' || l_linenumber)) AS m FROM stacks JOIN lineitem ON l_orderkey = commit GROUP BY 1), f AS (SELECT grp, min(day) AS seen FROM stacks GROUP BY 1) SELECT grp AS patch_group, m[2] AS upstream_hash, CAST(m[1] AS DATE) AS commit_date, seen AS first_occurrence FROM u JOIN f USING (grp)")
+def q10_upstream(spark: SparkSession, d: str) -> DataFrame:
+    return _group_tables(spark, d)["upstream"]
+
+
+def _section_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Suppliers are sections of the parts they deliver, their nation the status; parts of a type are the filter."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("lines"), "p_type")
+    files = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("section")).join(p, "file")
+    sections = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("section"), F.col("s_nationkey").alias("status"))
+    return ex.section_tables(files.select("file", "section", "lines"), sections, p.filter("p_type = 'ECONOMY'"))
+
+
+_SECTION_FILES = "f AS (SELECT DISTINCT l_partkey AS file, l_suppkey AS section, p_size AS lines, p_type = 'ECONOMY' AS hit FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"WITH {_SECTION_FILES} SELECT s_suppkey AS section, s_nationkey AS status, count(file) AS n_files, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, count(*) FILTER (hit) AS n_files_in_filter, CAST(coalesce(sum(lines) FILTER (hit), 0) AS BIGINT) AS lines_in_filter, coalesce(sum(lines) FILTER (hit), 0) / nullif(sum(lines), 0) AS share FROM supplier LEFT JOIN f ON section = s_suppkey GROUP BY 1, 2")
+def q17_sections(spark: SparkSession, d: str) -> DataFrame:
+    """A7 and K12: all sections with status, sizes and the share of a filter."""
+    return _section_tables(spark, d)["sections"]
+
+
+@query(f"WITH {_SECTION_FILES} SELECT file, string_agg(CAST(section AS VARCHAR), '|' ORDER BY CAST(section AS VARCHAR)) AS sections, max(lines) AS lines FROM f GROUP BY file")
+def q17_files(spark: SparkSession, d: str) -> DataFrame:
+    """K12: the sections of every file."""
+    return _section_tables(spark, d)["files"]
+
+
 # ---------------------------------------------------------------- threads, reports, refreshes
 
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a part file, so that no file of short lines grows far beyond 50 MiB.
-ROWS_PER_FILE = 500_000
+#: No part file has more bytes than this, unless a single line has: 50 MiB.
+LIMIT = 50 * 1024 * 1024
 
 
-def _lines(rows: DataFrame, line: Column, order: list[Column | str], path: str) -> None:
-    rows.orderBy(*order).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+def _lines(rows: DataFrame, line: Column, order: list[Column | str], path: str, limit: int = LIMIT) -> None:
+    """Sorted lines in part files that are cut between lines: as many lines a file as fit if all were as long as the longest."""
+    longest = rows.select(F.max(F.octet_length(line)).alias("n")).first()["n"] or 0
+    rows.orderBy(*order).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", max(1, limit // (longest + 1))).text(path)
 
 
 def cluster_lines(members: DataFrame) -> DataFrame:

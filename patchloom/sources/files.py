@@ -16,9 +16,16 @@ STACK_COLUMNS = ["BaseCommit", "BaseVersion", "BaseReleaseDate", "Branch", "Stac
 GENERAL_SECTION = "THE REST"
 
 
+def whole_or_split(spark: SparkSession, path: str) -> str:
+    """The path of a text if it is there, else that of all parts it was split to (`path.000`, ...)."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm)
+    return path if there is not None and len(there) else f"{path}.[0-9][0-9][0-9]"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a text in ISO 8859-1, parts of a split file (`path.000`, ...) one after another; pos grows along the text."""
-    rows = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), F.decode("content", "iso-8859-1").alias("text"))
+    """(pos, line) of a text in ISO 8859-1, parts of a split file one after another; pos grows along the text. A file that is not split goes before parts of its name."""
+    rows = spark.read.format("binaryFile").load(whole_or_split(spark, path)).select(F.col("_metadata.file_name").alias("file"), F.decode("content", "iso-8859-1").alias("text"))
     lines = rows.select("file", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
     return lines.select(F.struct("file", "n").alias("pos"), "line")
 
@@ -30,6 +37,7 @@ def read_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_split_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV that was cut to parts, of which only the first has the header; all columns as text."""
+    path = whole_or_split(spark, path)
     files = [r.f for r in spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f")).distinct().orderBy("f").collect()]
     head = spark.read.option("header", True).csv(files[:1])
     names = head.columns

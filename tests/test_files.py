@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from patchloom.sinks import exports as ex
 from patchloom.sinks import files as out
 from patchloom.sources import files as src
 
@@ -104,3 +105,33 @@ def test_csv_and_metrics(spark, tmp_path):
     out.write_ratings(r, str(tmp_path / "r"))
     assert [x.cand for x in spark.read.parquet(str(tmp_path / "r")).collect()] == ["b", "a"]
     assert {x.id for x in out.invalidate(r.select(F.col("cand").alias("id")), r.select(F.col("orig").alias("id"))).collect()} == {"a", "b", "o"}
+
+
+def test_a_whole_file_goes_before_its_parts(spark, tmp_path):
+    for name, body in (("h.000", "a\n"), ("h.001", "b\n")):
+        (tmp_path / name).write_text(body)
+    read = lambda: [r.hash for r in src.read_hashes(spark, f"{tmp_path}/h").orderBy("pos").collect()]
+    assert read() == ["a", "b"]
+    (tmp_path / "h").write_text("c\n")
+    assert read() == ["c"]
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    rows = spark.range(400).selectExpr("repeat('x', cast(id % 90 AS int)) || id AS hash")
+    out._lines(rows, F.col("hash"), ["hash"], f"{tmp_path}/out", limit=1000)
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert len(parts) > 20 and max(p.stat().st_size for p in parts) <= 1000
+    assert [x for p in parts for x in p.read_text().split("\n") if x] == sorted(r.hash for r in rows.collect())
+
+
+def test_tables_of_a_set(spark, tmp_path):
+    members = spark.createDataFrame([("a", 1, False), ("b", 1, False), ("u", 1, True), ("c", 2, False), ("x", 3, True)], "id string, cluster_id int, is_upstream boolean")
+    stacks = spark.sql("SELECT * FROM VALUES ('a', 'v1', 'b1', 1, DATE '2020-01-05'), ('b', 'v2', 'b1', 2, DATE '2020-01-02'), ('c', 'v2', 'b1', 2, DATE '2020-02-01'), ('c', 'v3', 'b2', 3, DATE '2020-03-01') AS t(commit, version, base, ord, day)")
+    commits = spark.sql("SELECT * FROM VALUES ('u', TIMESTAMP '2020-04-01 10:00:00'), ('x', TIMESTAMP '2020-04-01 10:00:00') AS t(id, ts)")
+    ex.write_tables(ex.patch_group_tables(members, stacks, commits), f"{tmp_path}/set", sep=" ")
+    read = lambda name: sorted(x for p in (tmp_path / "set" / name).glob("part-*") for x in p.read_text().split("\n")[1:] if x)
+    assert read("patches") == ["1 a v1 b1", "1 b v2 b1", "2 c v3 b2"]
+    assert read("occurrence") == ["1 v1 v2 v2 v1", "2 v3 v3 v3 v3"]
+    assert read("upstream") == ["1 u 2020-04-01 2020-01-02"]
+    releases = ex.release_tables(spark.sql("SELECT * FROM VALUES ('g', 'v1', 'b1', 1, DATE '2020-01-05', DATE '2020-01-01'), ('g', 'v2', 'b1', 2, DATE '2020-02-05', DATE '2020-01-01') AS t(grp, version, base, ord, date, base_date)"))
+    assert {k: v.count() for k, v in releases.items()} == {"mainline_releases": 1, "stack_releases": 2, "release_order": 2}
