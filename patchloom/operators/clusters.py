@@ -125,6 +125,43 @@ def insert(members: DataFrame, groups: DataFrame) -> DataFrame:
     return components(kept.unionByName(edges), members.select("id").unionByName(groups.select("id")))
 
 
+def merge_delta(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cluster_id, into) of the clusters that new edges (a, b) join to another, and (id, cluster_id) of ids that were not known.
+
+    Components are those of the edges alone, between the clusters of their ends: old edges and members that no edge
+    touches take no part, so that the work grows with what is new. Clusters are named by their smallest id.
+    """
+    e = _recovery_point(edges.select("a", "b").filter("a is not null and b is not null").distinct())
+    ids = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    label = _recovery_point(ids.join(members.select("id", "cluster_id"), "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"), F.col("cluster_id").isNull().alias("new")))
+    named = label.select("id", "cluster_id")
+    met = e.join(named.select(F.col("id").alias("a"), F.col("cluster_id").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("cluster_id").alias("y")), "b")
+    into = components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("cluster_id"), F.col("cluster_id").alias("into"))
+    known = members.select("cluster_id").join(into, "cluster_id", "left_semi").distinct()
+    new = label.filter("new").select("id", "cluster_id").join(into, "cluster_id", "left").select("id", F.coalesce("into", "cluster_id").alias("cluster_id"))
+    return into.filter("cluster_id <> into").join(known, "cluster_id", "left_semi"), new
+
+
+def write_version(members: DataFrame, edges: DataFrame, store: str, version: int) -> None:
+    """Adds what new edges change to a store as its next version; version 0 holds all members (id, cluster_id). A version that is written again is replaced."""
+    if not version:
+        members.select("id", "cluster_id").write.mode("overwrite").parquet(f"{store}/new/version=0")
+        return
+    delta, new = merge_delta(at_version(members.sparkSession, store, version - 1), edges)
+    delta.write.mode("overwrite").parquet(f"{store}/into/version={version}")
+    new.write.mode("overwrite").parquet(f"{store}/new/version={version}")
+
+
+def at_version(spark: SparkSession, store: str, version: int) -> DataFrame:
+    """(id, cluster_id) of a store as of a version: cluster names are followed through all changes up to it."""
+    rows = spark.read.parquet(f"{store}/new").filter(F.col("version") <= version)
+    if not version:
+        return rows.select("id", "cluster_id")
+    steps = spark.read.parquet(f"{store}/into").filter(F.col("version") <= version)
+    into = components(steps.select(F.col("cluster_id").alias("a"), F.col("into").alias("b"))).select(F.col("id").alias("cluster_id"), F.col("cluster_id").alias("into"))
+    return rows.select("id", "cluster_id").join(into, "cluster_id", "left").select("id", F.coalesce("into", "cluster_id").alias("cluster_id"))
+
+
 def related(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(set, related): all ids of the set (set, id) are known and in one cluster."""
     found = sets.join(members.select("id", "cluster_id"), "id", "left")

@@ -508,6 +508,18 @@ def o9_intermix(spark: SparkSession, d: str) -> DataFrame:
     return cl.intermix(_members(spark, d), labels).select("id", (F.col("t.own") == 1).alias("no_truth"), (F.col("p.own") == 1).alias("no_prediction"))
 
 
+@query(f"WITH RECURSIVE {_MEMBERS}, p AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY toxic, quality ORDER BY doc_id) AS b FROM labels WHERE toxic = 1 OR quality = 0), e AS (SELECT x.cluster_id AS a, y.cluster_id AS b FROM p JOIN members x ON x.id = p.a JOIN members y ON y.id = p.b), w AS (SELECT cluster_id AS c, cluster_id AS l FROM members UNION SELECT w.c, CASE WHEN e.a = w.l THEN e.b ELSE e.a END FROM w JOIN e ON w.l IN (e.a, e.b)), t AS (SELECT c, min(l) AS l FROM w GROUP BY c) SELECT id, l AS cluster_id FROM members JOIN t ON c = cluster_id")
+def g1_increment(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters after two deltas: labelled documents are linked, those of each label with the next one."""
+    m, labels = _members(spark, d), _t(spark, d, "labels").filter("toxic = 1 or quality = 0")
+    after = F.lead("doc_id").over(Window.partitionBy("toxic", "quality").orderBy("doc_id"))
+    edges = labels.select(F.col("doc_id").alias("a"), after.alias("b"), "toxic")
+    for part in ("toxic = 1", "toxic = 0"):
+        delta, _ = cl.merge_delta(m, edges.filter(part).select("a", "b"))
+        m = m.join(delta, "cluster_id", "left").select("id", F.coalesce("into", "cluster_id").alias("cluster_id"))
+    return m
+
+
 @query(f"WITH {_MEMBERS} SELECT id, cluster_id FROM members WHERE id NOT IN (SELECT doc_id FROM labels)")
 def j15_unreachable(spark: SparkSession, d: str) -> DataFrame:
     return cl.unreachable(_members(spark, d), _t(spark, d, "labels").select(F.col("doc_id").alias("id"))).select("id", "cluster_id")

@@ -1,4 +1,5 @@
 import math
+import random
 
 from patchloom.operators import clusters as cl
 from patchloom.operators import threads as th
@@ -29,3 +30,21 @@ def test_thread_with_cycle_and_unknown_parent(spark):
     mails = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("u", "gone")], "id string, parent string")
     got = {r.id: r.root for r in th.roots(mails).collect()}
     assert got["c"] == "a" and got["u"] == "u" and set(got) == {"a", "b", "c", "x", "y", "u"}
+
+
+def test_versions_equal_whole_clusterings(spark, tmp_path):
+    rng = random.Random(3)
+    rounds = [[(rng.randrange(60), rng.randrange(60 + 5 * k)) for _ in range(12)] for k in range(4)]
+    store = str(tmp_path / "store")
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = cl.components(frame(rounds[0]), spark.range(60))
+    cl.write_version(first, None, store, 0)
+    for k, edges in enumerate(rounds[1:], 1):
+        cl.write_version(first, frame(edges), store, k)
+    # A version that is written again changes nothing.
+    cl.write_version(first, frame(rounds[2]), store, 2)
+    for k in range(4):
+        every = [e for r in rounds[: k + 1] for e in r]
+        ids = sorted({*range(60), *(b for _, b in every)})
+        want = cl.components(frame(every), spark.createDataFrame([(i,) for i in ids], "id long"))
+        assert {tuple(r) for r in cl.at_version(spark, store, k).collect()} == {tuple(r) for r in want.collect()}
