@@ -257,10 +257,9 @@ def w1_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q4_rate_clusterstats(spark: SparkSession, d: str) -> DataFrame:
-    """Blocking, rating, decisions in order with known false positives, clusters, statistics."""
+    """Blocking, rating, decisions in order, clusters, statistics."""
     m = _members(spark, d).select("id", F.col("id").alias("cluster_id"), "is_upstream")
-    wrong = _t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("origin"), (F.col("doc_id") + 1).alias("dest"))
-    _, clusters = de.decide_in_order(_rated(spark, d), m, 0.5, 0.8, 0.6, 0.4, false_positives=wrong)
+    _, clusters = de.decide_in_order(_rated(spark, d), m, 0.5, 0.8, 0.6, 0.4)
     return cl.statistics(clusters.join(m.select("id", "is_upstream"), "id"))
 
 
