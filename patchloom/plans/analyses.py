@@ -337,19 +337,7 @@ def m9_sweep(spark: SparkSession, d: str) -> DataFrame:
     return sw.sweep(ratings, truth, [w / 10 for w in range(0, 11, 5)], [t / 100 for t in range(60, 101, 10)], [0.0, 0.5, 0.9], by=["filename", "heading"])
 
 
-_SWEPT = f"""{_PARTS},
-g AS (SELECT * FROM (SELECT unnest([0.0, 0.5, 1.0]) AS weight), (SELECT unnest([0.0, 0.5]) AS lines_ratio), (SELECT unnest([0.5, 0.8, 0.95]) AS accept)),
-e AS MATERIALIZED (SELECT weight, lines_ratio, accept, a, b FROM g, rt WHERE dlr >= lines_ratio AND weight * msg + (1 - weight) * diff >= accept - 1e-9),
-w AS (SELECT weight, lines_ratio, accept, p_partkey AS id, p_partkey AS l FROM g, part UNION
-      SELECT w.weight, w.lines_ratio, w.accept, w.id, CASE WHEN e.a = w.l THEN e.b ELSE e.a END FROM w JOIN e ON e.weight = w.weight AND e.lines_ratio = w.lines_ratio AND e.accept = w.accept AND w.l IN (e.a, e.b)),
-c AS MATERIALIZED (SELECT weight, lines_ratio, accept, id, min(l) AS c, p_type AS t FROM w JOIN part ON p_partkey = id GROUP BY ALL),
-tp AS (SELECT weight, lines_ratio, accept, sum(n * (n - 1) / 2) AS tp FROM (SELECT weight, lines_ratio, accept, c, t, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL),
-sp AS (SELECT weight, lines_ratio, accept, sum(n * (n - 1) / 2) AS sp, count(*) AS clusters FROM (SELECT weight, lines_ratio, accept, c, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL),
-st AS (SELECT sum(n * (n - 1) / 2) AS st FROM (SELECT count(*) AS n FROM part GROUP BY p_type)),
-k AS (SELECT weight, lines_ratio, accept, count(*) AS accepted FROM e GROUP BY ALL)"""
-
-
-@query(f"WITH RECURSIVE {_SWEPT} SELECT CAST(weight AS DOUBLE) AS weight, CAST(lines_ratio AS DOUBLE) AS lines_ratio, CAST(accept AS DOUBLE) AS accept, coalesce(accepted, 0) AS accepted, clusters, round(tp / nullif(sp, 0), 9) AS precision, round(tp / st, 9) AS recall FROM sp JOIN tp USING (weight, lines_ratio, accept) LEFT JOIN k USING (weight, lines_ratio, accept), st")
+@query()
 def m9_settings(spark: SparkSession, d: str) -> DataFrame:
     """Parts rated by size and price: clusters, precision and recall against their types at every setting."""
     truth = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("truth"))
