@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from patchloom.functions import similarity as sim
 from patchloom.functions import text as tx
@@ -20,6 +21,8 @@ from patchloom.operators.similar import similar
 
 #: Files of one name are split into so many parts per side, so that a name in very many patches is worked on by many tasks.
 PARTS = 8
+#: Patches of a block, about: a pair of blocks has twice as many patches and at most about the square of it of pairs.
+BLOCK = 64
 
 
 def _files(patches: DataFrame) -> DataFrame:
@@ -89,37 +92,61 @@ def _diff(files: list[dict] | None) -> dict:
     return out
 
 
+def blocks(patches: DataFrame) -> DataFrame:
+    """(id, lines, file, chunk): patches in blocks of about BLOCK that share their first file name, however many share it.
+
+    `file` is the name's hash. The counts are dealt to PARTS parts like the names in `block_exact`.
+    """
+    short = patches.select("id", "lines", F.xxhash64(F.array_min("affected")).alias("file"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
+    counts = short.groupBy("file").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    dealt = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return short.join(dealt, ["file", "part"]).select("id", "lines", "file", F.pmod(F.xxhash64("id", F.lit("chunk")), "chunks").alias("chunk"))
+
+
 def rate(pairs: DataFrame, patches: DataFrame, lines_ratio: float, heading: float, filename: float) -> DataFrame:
     """(a, b, msg, diff, dlr) of pairs: similarity of the whole messages and of the diffs, ratio of the changed lines.
 
     Equal ids rate 1, pairs below the ratio of lines 0, without a look at the
-    texts. Messages are normalised once a patch, diffs read once a patch and batch.
+    texts. The others are worked on by pairs of blocks: a patch is sent and
+    prepared once for each pair of blocks it is in, not for each pair of
+    patches, and texts that occur in several patches of one are compared once.
     """
-    clean = F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("message", F.lit(""))), r"(?U)\W", " "), " "), lambda w: w != "")), " ")
-    p = patches.select("id", clean.alias("norm"), "lines", "files")
-    a = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns]).withColumnRenamed("a_id", "a")
-    b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns]).withColumnRenamed("b_id", "b")
+    placed = blocks(patches)
+    a = placed.select(F.col("id").alias("a"), F.col("lines").alias("a_lines"), F.col("file").alias("a_file"), F.col("chunk").alias("a_chunk"))
+    b = placed.select(F.col("id").alias("b"), F.col("lines").alias("b_lines"), F.col("file").alias("b_file"), F.col("chunk").alias("b_chunk"))
     both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("dlr", sim.lines_ratio(F.col("a_lines"), F.col("b_lines")))
-    same, gated = F.col("a") == F.col("b"), F.col("dlr") < lines_ratio
+    both = _recovery_point(both.drop("a_lines", "b_lines"))
+    same, gated = F.col("a") == F.col("b"), F.coalesce(F.col("dlr") < lines_ratio, F.lit(False))
     settled = both.filter(same | gated).select("a", "b", F.when(same, 1.0).otherwise(0.0).alias("msg"), F.when(same, 1.0).otherwise(0.0).alias("diff"), F.when(same, 1.0).otherwise(F.col("dlr")).alias("dlr"))
+    tile = ["a_file", "a_chunk", "b_file", "b_chunk"]
+    open_ = both.filter(~same & ~gated).select(*tile, "a", "b", "dlr")
+    sent = open_.select(*tile, F.explode(F.array("a", "b")).alias("a")).distinct().join(patches.select(F.col("id").alias("a"), "message", "files"), "a")
+    # Of each pair of blocks the patches come first, then the pairs of them. The number is given, as a few bytes can mean much work.
+    parts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sent.unionByName(open_, allowMissingColumns=True).repartition(parts, *tile).sortWithinPartitions(*tile, F.col("b").isNotNull())
     kinds = dict(both.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known, found = None, {}, {}
         for batch in batches:
-            x, y, u, v = (batch.column(i).to_pylist() for i in range(2, 6))
-            ids = [batch.column(i).to_pylist() for i in range(2)]
-            read: dict = {}
-            msg, diff = [], []
-            for i, j, s, t, f, g in zip(*ids, x, y, u, v, strict=True):
-                for k, files in ((i, f), (j, g)):
-                    if k not in read:
-                        read[k] = _diff(files)
-                msg.append(sim.ratio(s, t) / 100)
-                diff.append(sim.rate_diffs(read[i], read[j], filename, heading))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(msg, pa.float64()), pa.array(diff, pa.float64()), batch.column(6)], ["a", "b", "msg", "diff", "dlr"])
-
-    open_ = both.filter(~same & ~gated).select("a", "b", "a_norm", "b_norm", "a_files", "b_files", "dlr")
-    rated = open_.mapInArrow(score, f"a {kinds['a']}, b {kinds['b']}, msg double, diff double, dlr double")
+            done: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*tile, "a", "b", "dlr", "message", "files")), strict=True):
+                place, (i, j, dlr, message, files) = row[:4], row[4:]
+                if place != here:
+                    here, known, found = place, {}, {}
+                if j is None:
+                    known[i] = (sim.Text(sim.normalise(message or "")), sim.prepare_diff(_diff(files)))
+                    continue
+                (s, f), (t, g) = known[i], known[j]
+                key = (s.text, t.text)
+                if key not in found:
+                    found[key] = sim.text_ratio(s, t) / 100
+                done.append((i, j, found[key], sim.rate_prepared(f, g, filename, heading), dlr))
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "msg", "diff", "dlr"), x, strict=True)) for x in done], out)
+
+    out = pa.schema([("a", to_arrow_type(both.schema["a"].dataType)), ("b", to_arrow_type(both.schema["b"].dataType)), ("msg", pa.float64()), ("diff", pa.float64()), ("dlr", pa.float64())])
+    rated = rows.select(*tile, "a", "b", "dlr", "message", "files").mapInArrow(score, f"a {kinds['a']}, b {kinds['b']}, msg double, diff double, dlr double")
     return rated.unionByName(settled)
 
 

@@ -109,3 +109,33 @@ def test_cluster_edits(spark):
     groups = spark.createDataFrame([("g", 2), ("g", 4), ("h", 8), ("h", 9)], "group string, id long")
     assert as_dict(cl.insert(m, groups)) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 8: 8, 9: 8}
     assert {r.id for r in cl.unreachable(m, ids(1, 2, 3)).collect()} == {4, 5}
+
+
+def test_rating_by_blocks(spark, monkeypatch):
+    """Many patches of one file in blocks of a few, copies among them, across files, equal ids, nulls and pairs given twice."""
+    monkeypatch.setattr(mt, "BLOCK", 3)
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choices(["fix", "leak", "é", "ß", "Größe", "x_y", "driver", "\U0001f600", "é"], k=n))
+    rows = []
+    for i in range(30):
+        hunks = [(f"h{rng.randint(0, 2)}", [some(3)] * rng.randint(0, 2), [some(2)] * rng.randint(0, 2)) for _ in range(rng.randint(0, 3))]
+        name = rng.choice(["hot", "hot", "hot", "a", "b"])
+        rows.append((i, [name] if i % 7 else None, rng.choice([None, "", some(4), "copy copy"]), rng.randint(0, 6), [(name, rng.choice([0, 0, 90, 100]), hunks)] if i % 11 else None))
+    schema = "id int, affected array<string>, message string, lines int, files array<struct<name string, similarity int, hunks array<struct<heading string, insertions array<string>, deletions array<string>>>>>"
+    patches = spark.createDataFrame(rows, schema)
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a, 30, 2)] + [(0, 2), (0, 99)], "a int, b int")
+    got = {(r.a, r.b): (r.msg, r.diff, r.dlr) for r in mt.rate(pairs, patches, 0.4, 1.0, 1.0).collect()}
+
+    def diff(files):
+        return mt._diff([dict(zip(("name", "similarity", "hunks"), (n, s, [dict(zip(("heading", "insertions", "deletions"), h, strict=True)) for h in hs]), strict=True)) for n, s, hs in files or []])
+
+    want = {}
+    for a in range(30):
+        for b in range(a, 30, 2):
+            x, y = rows[a], rows[b]
+            dlr = 1.0 if x[3] == y[3] == 0 else min(x[3], y[3]) / max(x[3], y[3])
+            rated = (sim.token_sort_ratio(x[2] or "", y[2] or "") / 100, sim.rate_diffs(diff(x[4]), diff(y[4]), 1.0, 1.0), dlr)
+            want[a, b] = (1.0, 1.0, 1.0) if a == b else rated if dlr >= 0.4 else (0.0, 0.0, dlr)
+    assert got == want
+    sizes = [r["count"] for r in mt.blocks(patches).groupBy("file", "chunk").count().collect()]
+    assert sum(sizes) == 30 and len(sizes) > 6
