@@ -121,13 +121,17 @@ def hops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"]).groupBy("key").agg(F.min("hops").alias("hops"))
 
 
-def communities(edges: DataFrame) -> DataFrame:
+def communities(edges: DataFrame, in_order: bool = False) -> DataFrame:
     """(section, group) by random walks of STEPS steps: sections are merged with the neighbour whose walks are most alike.
 
     In every round each group looks at the groups it has edges with, by the squared
     distance of their mean walk probabilities, weighted by both sizes; pairs that
     choose each other are merged. Of all rounds the one with the highest modularity is
     given. group is its smallest section; edges (src, dst, lines) of weight 0 and loops do not count.
+
+    With in_order the result is that of one merge at a time, the nearest pair first,
+    equal ones by name, cut after the merge with the highest modularity. It takes up to a round
+    for each merge, so it is for graphs of some hundred sections.
     """
     e = edges.filter("src <> dst and lines > 0").groupBy(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("t")).agg(F.sum("lines").cast("double").alias("w"))
     e = _recovery_point(e)
@@ -142,6 +146,8 @@ def communities(edges: DataFrame) -> DataFrame:
     walk = _recovery_point(walk.join(degree.select(F.col("u").alias("v"), "d"), "v").select("u", "v", (F.col("p") / F.sqrt("d")).alias("x")))
     total = e.agg(F.sum("w")).first()[0] or 0.0
     label = _recovery_point(degree.select(F.col("u").alias("section"), F.col("u").alias("group")))
+    if in_order and total:
+        return _merged_in_order(label, both, walk, total)
     best, best_q = label, -1.0
     # The two groups that are nearest of all choose each other, so every round merges some.
     while True:
@@ -166,6 +172,78 @@ def communities(edges: DataFrame) -> DataFrame:
     return best.join(first, "group").select("section", F.col("name").alias("group"))
 
 
+def _merged_in_order(label: DataFrame, both: DataFrame, walk: DataFrame, total: float) -> DataFrame:
+    """`communities` one merge at a time.
+
+    A round does as many merges as surely come next: pairs that choose each other, up to the first that
+    another pair, or one that they make, may precede. The modularity of the
+    merges of a round is summed up in one task, a few numbers each.
+    """
+    pairs, labels, merges = _merge_costs(label, both, walk), [label], []
+    while not pairs.isEmpty():
+        # Pairs that choose each other; the nearest of all is among them.
+        each = pairs.unionByName(pairs.select("key", F.col("hi").alias("lo"), F.col("lo").alias("hi"), "w"))
+        choice = _recovery_point(each.groupBy("lo").agg(F.min("key").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n = 2").select("key"))
+        batch = pairs.join(choice, "key", "left_semi")
+        label = labels[-1]
+        after = label.join(batch.select(F.col("hi").alias("group"), F.col("lo").alias("into")), "group", "left").select("section", F.coalesce("into", "group").alias("group"))
+        ends = batch.select(F.col("lo").alias("g"), "key").unionByName(batch.select(F.col("hi").alias("g"), "key"))
+        # What may come before a pair of the batch: pairs apart from all of them, and pairs that their merges make, with groups as they were or merged.
+        apart = pairs.join(ends.select(F.col("g").alias("lo")), "lo", "left_anti").join(ends.select(F.col("g").alias("hi")), "hi", "left_anti")
+        grown = batch.select(F.col("lo").alias("g"))
+        made = _merge_costs(after, both, walk, grown).unionByName(_merge_costs(label, both, walk, grown, after))
+        bound = apart.select("key").unionByName(made.select("key")).agg(F.min("key").alias("k")).crossJoin(choice.agg(F.min("key").alias("first")))
+        done = _recovery_point(batch.crossJoin(F.broadcast(bound)).filter("k is null or key < k or key = first").select("key", "lo", "hi", "w"))
+        label = _recovery_point(label.join(done.select(F.col("hi").alias("group"), F.col("lo").alias("into")), "group", "left").select("section", F.coalesce("into", "group").alias("group")))
+        weight = both.join(labels[-1].select(F.col("section").alias("u"), "group"), "u").groupBy("group").agg(F.sum("w").alias("a"))
+        gain = done.join(weight.select(F.col("group").alias("lo"), "a"), "lo").join(weight.select(F.col("group").alias("hi"), F.col("a").alias("b")), "hi")
+        merges.append(gain.select(F.lit(len(merges)).alias("round"), "key", "lo", "hi", (F.col("w") / total - F.col("a") * F.col("b") / (2 * total * total)).alias("gain")))
+        labels.append(label)
+        # Pairs of groups that stay as they were keep their cost.
+        gone = _recovery_point(done.select(F.col("lo").alias("g")).unionByName(done.select(F.col("hi").alias("g"))))
+        kept = pairs.join(gone.select(F.col("g").alias("lo")), "lo", "left_anti").join(gone.select(F.col("g").alias("hi")), "hi", "left_anti")
+        pairs = _recovery_point(kept.unionByName(_merge_costs(label, both, walk, done.select(F.col("lo").alias("g")))))
+    tree = _recovery_point(reduce(DataFrame.unionByName, merges))
+    before = tree.groupBy("round").agg(F.sum("gain").alias("g")).select("round", (F.sum("g").over(Window.orderBy("round")) - F.col("g")).alias("base"))
+    there = tree.join(F.broadcast(before), "round").withColumn("q", F.round(F.col("base") + F.sum("gain").over(Window.partitionBy("round").orderBy("key")), 12))
+    cut = there.orderBy(F.desc("q"), "round", "key").select("round", "key", "q").first()
+    if cut.q <= 0:
+        return labels[0]
+    key = F.struct(*[F.lit(x) for x in cut.key]).cast(tree.schema["key"].dataType)
+    last = tree.filter((F.col("round") == cut["round"]) & (F.col("key") <= key)).select(F.col("hi").alias("group"), F.col("lo").alias("into"))
+    return labels[cut["round"]].join(last, "group", "left").select("section", F.coalesce("into", "group").alias("group"))
+
+
+def _merge_costs(label: DataFrame, both: DataFrame, walk: DataFrame, only: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
+    """(key, lo, hi, w) of neighbouring groups: key (cost, lo, hi) is the growth of the walks' variance if they merge, w the weight between them.
+
+    `only` (g) gives the pairs that have one of these groups. With `other`, a second labelling of which the
+    groups of `only` are taken, pairs of a group of `only` with what are groups of `label` outside it.
+    """
+    named = lambda rows: rows.select(F.col("section").alias("u"), F.col("group").alias("g"))
+    left, right = named(label if other is None else other), named(label)
+    if only is not None:
+        left = left.join(only, "g", "left_semi")
+    links = both.join(left, "u").join(right.select(F.col("u").alias("v"), F.col("g").alias("h")), "v").groupBy("g", "h").agg(F.sum("w").alias("w"))
+    # A group that is grown holds what it grew from.
+    held = left.join(right.withColumnRenamed("g", "h"), "u").select("g", "h").distinct()
+    links = links.join(held, ["g", "h"], "left_anti")
+
+    def means(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        rows = rows.join(wanted, "g", "left_semi")
+        size = rows.groupBy("g").agg(F.count("*").alias("n"))
+        return walk.join(rows, "u").groupBy("g", "v").agg(F.sum("x").alias("x")).join(size, "g").select("g", "v", (F.col("x") / F.col("n")).alias("x"), "n")
+
+    links = _recovery_point(links)
+    m, k = means(left, links.select("g").distinct()), means(right, links.select(F.col("h").alias("g")).distinct()).withColumnRenamed("g", "h")
+    a = links.join(m, "g").select("g", "h", "w", "v", "x", "n", F.lit(0).cast("long").alias("m"))
+    b = links.join(k, "h").select("g", "h", "w", "v", (-F.col("x")).alias("x"), F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    gap = a.unionByName(b).groupBy("g", "h", "w", "v").agg(F.sum("x").alias("x"), F.max("n").alias("n"), F.max("m").alias("m")).groupBy("g", "h", "w").agg(F.sum(F.col("x") * F.col("x")).alias("r"), F.max("n").alias("n"), F.max("m").alias("m"))
+    lo, hi = F.least("g", "h"), F.greatest("g", "h")
+    cost = gap.select(F.round(F.col("r") * F.col("n") * F.col("m") / (F.col("n") + F.col("m")), 12).alias("cost"), lo.alias("lo"), hi.alias("hi"), "w")
+    return _recovery_point(cost.groupBy("lo", "hi").agg(F.min("cost").alias("cost"), F.min("w").alias("w")).select(F.struct("cost", "lo", "hi").alias("key"), "lo", "hi", "w"))
+
+
 def group_representatives(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """(group, representative): the largest section (section, size) of each community, of equal ones the first by name."""
     r = Window.partitionBy("group").orderBy(F.desc("size"), "section")

@@ -4,6 +4,7 @@ import fnmatch
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,49 @@ def test_communities_of_two_cliques(spark):
     assert got == {**dict.fromkeys(one, "a"), **dict.fromkeys(two, "w")}
 
 
+def _one_merge_at_a_time(edges):
+    """Walktrap in plain Python: walks as rows of a matrix power, the nearest neighbouring groups merged, the best modularity kept."""
+    weight = {}
+    for s, t, w in edges:
+        if s != t and w > 0:
+            weight[min(s, t), max(s, t)] = weight.get((min(s, t), max(s, t)), 0) + w
+    names = sorted({x for e in weight for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    a = np.zeros((len(names), len(names)))
+    for (s, t), w in weight.items():
+        a[at[s], at[t]] = a[at[t], at[s]] = w
+    loops = a + np.diag(a.sum(1) / (a > 0).sum(1))
+    d = loops.sum(1)
+    walks = np.linalg.matrix_power(loops / d[:, None], se.STEPS) / np.sqrt(d)
+    groups, total = {x: [at[x]] for x in names}, a.sum()
+
+    def cost(g, h):
+        m, n = groups[g], groups[h]
+        return round(((walks[m].mean(0) - walks[n].mean(0)) ** 2).sum() * len(m) * len(n) / (len(m) + len(n)), 12), g, h
+
+    def quality():
+        return round(sum(a[np.ix_(m, m)].sum() / total - (a[m].sum() / total) ** 2 for m in groups.values()), 9)
+
+    best, found = quality(), {names[i]: g for g, m in groups.items() for i in m}
+    while True:
+        near = [cost(g, h) for g in groups for h in groups if g < h and a[np.ix_(groups[g], groups[h])].any()]
+        if not near:
+            return found
+        _, g, h = min(near)
+        groups[g] += groups.pop(h)
+        if quality() > best:
+            best, found = quality(), {names[i]: k for k, m in groups.items() for i in m}
+
+
+def test_communities_are_those_of_one_merge_at_a_time(spark):
+    rng = random.Random(6)
+    # Two small graphs, one of them in two parts, and a star.
+    edges = [(f"x{i}", f"x{j}", rng.choice([1, 1, 2, 7])) for i in range(8) for j in range(i) if rng.random() < (0.8 if i // 4 == j // 4 else 0.15)]
+    edges += [(f"y{i}", f"y{j}", rng.randint(1, 9)) for i in range(4) for j in range(i)] + [("hub", f"leaf{i}", 1 + i) for i in range(3)]
+    got = {r.section: r.group for r in se.communities(spark.createDataFrame(edges, "src string, dst string, lines long"), in_order=True).collect()}
+    assert got == _one_merge_at_a_time(edges)
+
+
 def test_section_without_files_has_weight_zero(spark):
     graph = spark.createDataFrame([("a", "a", 4, 1), ("a", "b", 2, 1)], "src string, dst string, lines long, files long")
     got = {tuple(r) for r in se.with_lonely(graph, spark.createDataFrame([("a",), ("b",)], "section string")).collect()}
