@@ -20,8 +20,10 @@ from patchloom.llm.common import cut, only
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
-#: Entries from here on are no numbers that 64 bits hold exactly in sums of a batch.
-HUGE = float(1 << 42)
+#: Entries whose multiple by SCALE lies this far from nought have no whole number of 64 bits.
+HUGE = float((1 << 63) - (1 << 20))
+#: Above this sum of squares, well beyond what 64 bits hold, its approximation alone tells that they do not.
+BEYOND = 1.5 * 2.0**63
 #: Rows that numpy works on at a time.
 BATCH = 4096
 #: Tasks of a tree's last level send their matrices to the driver.
@@ -30,7 +32,7 @@ DEPTH = 2
 
 def whole_numbers(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, x): the vectors in whole numbers; those that are null, or hold entries that are null or not finite, are left out."""
-    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < HUGE))
+    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * SCALE) < HUGE))
     x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT)
     return only(rows, key, vector).filter(F.col(vector).isNotNull() & fine).select(key, x.alias("x"))
 
@@ -48,8 +50,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], at: int, d: int) -> Iterator[tupl
 
 
 def _centred(x: np.ndarray, base: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """x less its mean base + part; whole numbers are subtracted as such, so that nothing is lost however large they are."""
-    return (x - base).astype(np.float64) - part
+    """x less its mean base + part; whole numbers are subtracted as such, in halves, so that nothing is lost however large they are."""
+    high, low = (x >> 32) - (base >> 32), (x & 0xFFFFFFFF) - (base & 0xFFFFFFFF)
+    return high * 2.0**32 + low - part
+
+
+def _squares(x: np.ndarray, n: int, base: np.ndarray, rest: np.ndarray) -> pa.Array:
+    """For every row the sum of (n * x - s)^2, where s = n * base + rest, exactly; null where 64 bits do not hold it.
+
+    Whole numbers that outgrow 64 bits keep their lowest ones, so the sum is right
+    wherever it fits, and floating point tells where it does not.
+    """
+    apart = (x - base) * np.int64(n) - rest
+    exact = (apart * apart).sum(axis=1)
+    about = ((n * _centred(x, base, rest / n)) ** 2).sum(axis=1)
+    return pa.array(exact, mask=(about > BEYOND) | (exact < 0))
 
 
 def _sums(fit: DataFrame, d: int) -> tuple[int, list[int]]:
@@ -59,7 +74,9 @@ def _sums(fit: DataFrame, d: int) -> tuple[int, list[int]]:
         n, total = 0, [0] * d
         for _, x in _pieces(batches, 0, d):
             n += len(x)
-            total = [a + b for a, b in zip(total, x.sum(axis=0).tolist(), strict=True)]
+            # In halves, as sums of a piece may outgrow 64 bits.
+            high, low = (x >> 32).sum(axis=0).tolist(), (x & 0xFFFFFFFF).sum(axis=0).tolist()
+            total = [t + (a << 32) + b for t, a, b in zip(total, high, low, strict=True)]
         if n:
             # Sums of a task may outgrow 64 bits.
             yield pa.RecordBatch.from_arrays([pa.array([n] * d, pa.int64()), pa.array(range(d), pa.int32()), pa.array([str(t) for t in total])], ["n", "i", "s"])
@@ -101,11 +118,11 @@ def _moments(fit: DataFrame, d: int, image) -> Moments | None:  # noqa: ANN001
 
 
 def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> DataFrame:
-    """One row per vector and component: key, component, n, deviation, whitened, explained, identity_error.
+    """One row per vector and component: key, component, n, deviation, whitened, explained, identity_error, squares.
 
     Vectors that are null, or hold null or non-finite entries, are left out, and
     so are those of another length than most have (of equally many, the longer),
-    and entries of 2^42 and more count as not finite. Rows that repeat are kept,
+    and entries of about 2^57 and more, whose whole number has no 64 bits, count as not finite. Rows that repeat are kept,
     but the distinct whole-number vectors alone make up the mean and the
     covariance, each once. Components without variance (an eigenvalue below what
     rounding leaves of nought) have explained 0 and no whitened value; so has a
@@ -113,12 +130,13 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
     as there are. An empty table gives no rows.
 
     n is the number of distinct vectors, deviation the exact sum over dimensions
-    of n * x less the sum of x, identity_error the largest absolute entry of the
+    of n * x less the sum of x, squares the exact sum over dimensions of the square of that (null where
+    64 bits do not hold it), identity_error the largest absolute entry of the
     whitened values' covariance less the identity, measured by a pass of its own.
     """
     x = whole_numbers(rows, key, vector)
     spark, kind = rows.sparkSession, dict(x.dtypes)[key]
-    out = f"`{key}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    out = f"`{key}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double, squares long"
     lengths = x.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).filter("d > 0").orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], out)
@@ -144,7 +162,7 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
         count, _, cov = _moments(fit, d, project)
         error = float(np.abs(cov / count - np.eye(int(real.sum()))).max())
     explained = np.where(real, e / trace if trace > 0 else 0.0, 0.0)
-    rest, places = sum(t % n for t in s), np.flatnonzero(real)
+    left, places = np.array([t % n for t in s], dtype=np.int64), np.flatnonzero(real)
     k = len(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +171,13 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
             whitened = np.full((m, k), np.nan)
             whitened[:, places] = project(v)
             # n * x - s by dimension is n * (x - base) less what the division left.
-            deviation = n * (v - sent.value[0]).sum(axis=1) - rest
+            deviation = n * (v - sent.value[0]).sum(axis=1) - left.sum()
+            squares = _squares(v, n, sent.value[0], left)
             each = pa.array(np.repeat(np.arange(m), k))
             flat = pa.array(whitened.ravel(), mask=np.tile(~real, m))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)), pa.array(np.full(m * k, n, dtype=np.int64)), pa.array(np.repeat(deviation, k)), flat, pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error))],
-                [key, "component", "n", "deviation", "whitened", "explained", "identity_error"],
+                [batch.column(0).take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)), pa.array(np.full(m * k, n, dtype=np.int64)), pa.array(np.repeat(deviation, k)), flat, pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error)), squares.take(each)],
+                [key, "component", "n", "deviation", "whitened", "explained", "identity_error", "squares"],
             )
 
     return x.select(key, "x").mapInArrow(run, out)
