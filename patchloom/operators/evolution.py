@@ -82,7 +82,8 @@ def descriptions(commits: DataFrame, stacks: DataFrame, tags: DataFrame) -> Data
     mixed = plain.select("at", F.col("commit").cast("string").alias("commit"), F.lit(None).cast("timestamp").alias("tag")).unionByName(marks.select(F.col("at"), "commit", F.col("tag").cast("timestamp").alias("tag"))).withColumn("month", F.trunc("at", "month"))
     firsts = mixed.groupBy("month").agg(F.min("tag").alias("first"))
     later = firsts.select("month", F.first("first", ignorenulls=True).over(Window.orderBy("month").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    here = F.first("tag", ignorenulls=True).over(Window.partitionBy("month").orderBy("at", F.col("tag").isNull().desc()).rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards: a frame that only grows is summed up once, one that shrinks anew for every row.
+    here = F.last("tag", ignorenulls=True).over(Window.partitionBy("month").orderBy(F.desc("at"), F.col("tag").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     next_ = mixed.withColumn("here", here).filter("commit is not null").join(later, "month").select("commit", F.coalesce("here", "later").alias("next"))
     out = rows.withColumn("_c", F.col("commit").cast("string")).join(next_.withColumnRenamed("commit", "_c").dropDuplicates(["_c"]), "_c", "left")
     return out.select("commit", F.coalesce("s.stack_version", F.lit("master")).alias("branch"), "author_date", "commit_date", F.to_date(F.coalesce("s.release_date", "next")).alias("release_date"))
