@@ -124,23 +124,26 @@ def list_matches(lists_of_sections: Column, list_: Column) -> Column:
     return F.when(F.size(lists_of_sections) > 0, F.exists(lists_of_sections, lambda x: F.array_contains(x, list_)))
 
 
-def committer_correct(commits: DataFrame, people: DataFrame) -> DataFrame:
+def committer_correct(commits: DataFrame, people: DataFrame, tasks: int | None = None) -> DataFrame:
     """(commit, correct): name or mail of the committer is that of a person of a section of the commit.
 
     commits: (commit, committer, committer_mail, section), a row per section or one with a NULL; people: (section, name, mail).
+    With `tasks` commits are dealt to so many tasks, which a caller who knows their number can let grow with it.
     """
     who = people.select("section", F.explode(F.array(F.nullif("name", F.lit("")), F.nullif("mail", F.lit("")))).alias("who")).filter("who is not null").distinct()
-    asked = commits.select("commit", "section", F.explode(F.array("committer", "committer_mail")).alias("who")).distinct()
-    hit = asked.join(who, ["section", "who"], "left_semi").select("commit").distinct().withColumn("correct", F.lit(True))
-    return commits.select("commit").distinct().join(hit, "commit", "left").select("commit", F.coalesce("correct", F.lit(False)).alias("correct"))
+    asked = commits.select("commit", "section", F.explode(F.array("committer", "committer_mail")).alias("who"))
+    marked = asked.join(who.withColumn("hit", F.lit(True)), ["section", "who"], "left").select("commit", F.coalesce("hit", F.lit(False)).alias("hit"))
+    if tasks:
+        marked = marked.repartition(tasks, "commit")
+    return marked.groupBy("commit").agg(F.bool_or("hit").alias("correct"))
 
 
-def committer_near(commits: DataFrame, people: DataFrame, groups: DataFrame) -> DataFrame:
+def committer_near(commits: DataFrame, people: DataFrame, groups: DataFrame, tasks: int | None = None) -> DataFrame:
     """(commit, near): the committer is correct, or a person of any section in the community (section, group) of one of the commit's."""
     wider = people.join(groups, "section").select(F.concat(F.lit("group "), "group").alias("section"), "name", "mail")
     asked = commits.join(groups, "section").select("commit", "committer", "committer_mail", F.concat(F.lit("group "), "group").alias("section"))
     both = commits.select("commit", "committer", "committer_mail", "section").unionByName(asked)
-    return committer_correct(both, people.select("section", "name", "mail").unionByName(wider)).withColumnRenamed("correct", "near")
+    return committer_correct(both, people.select("section", "name", "mail").unionByName(wider), tasks).withColumnRenamed("correct", "near")
 
 
 def committer_distance(correct: Column, n_patch: Column, n_committer: Column, hops: Column) -> Column:

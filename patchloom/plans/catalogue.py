@@ -72,7 +72,12 @@ _STACKS = "stacks AS (SELECT o_orderkey AS commit, o_custkey AS grp, CAST(year(o
 def _both_sides(spark: SparkSession, d: str) -> DataFrame:
     down = _t(spark, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.col("o_orderdate").cast("timestamp").alias("down"))
     up = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_linenumber").alias("id"), F.col("l_shipdate").cast("timestamp").alias("up"))
-    return down.join(up, "cluster_id")
+    return down.join(up.repartition(_tasks(spark, d, "lineitem"), "cluster_id"), "cluster_id")
+
+
+def _tasks(spark: SparkSession, d: str, name: str, rows: int = 250_000) -> int:
+    """Tasks for a table's rows, about `rows` each, and no fewer than shuffles have; the table's files know their number of rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_t(spark, d, name).count() // rows))
 
 
 # ---------------------------------------------------------------- parsing and projections
@@ -161,9 +166,14 @@ def f19_quantile_trim(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2")
 def j1_block_exact(spark: SparkSession, d: str) -> DataFrame:
-    files = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("file")).distinct()
+    # A pair is made at the smallest part that it shares, and all that it shares is counted there; rows of a task do not grow with the table.
+    tasks = _tasks(spark, d, "lineitem")
+    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey").repartition(tasks, "id")
+    files = items.groupBy("id").agg(F.collect_set("l_partkey").alias("all")).withColumn("file", F.explode("all")).repartition(tasks, "file")
     a, b = files.alias("a"), files.alias("b")
-    return a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"))
+    both = F.array_intersect("a.all", "b.all")
+    met = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.id") < F.col("b.id"))).filter(F.array_min(both) == F.col("a.file"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.size(both).cast("long").alias("shared"))
 
 
 @query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE abs(floor((epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) / 86400000000)) < 20")
