@@ -31,6 +31,11 @@ def directions(ids: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(ids, dims)).astype(np.float32)
 
 
+def means(ids: bytes, table: np.ndarray) -> np.ndarray:
+    """The mean of the directions of little-endian 16-bit ids."""
+    return np.einsum("ij->j", table.take(np.frombuffer(ids, dtype="<u2"), axis=0)) / (len(ids) // 2)
+
+
 def hilbert(cells: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     """Hilbert indices of the rows of cells, whose values have `levels` bits each.
 
@@ -76,8 +81,8 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [words.encode(t) for t in part.column(1).to_pylist()]
-                v = np.stack([table[np.frombuffer(b, dtype="<u2")].mean(axis=0) for b in ids]).astype(np.float64)
+                ids = list(words.encode_all(part.column(1).to_pylist()))
+                v = np.stack([means(b, table) for b in ids]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary()), *map(pa.array, v.T)], [key, "n", "ids", *names])
 
     encoded = only(docs, key, text).mapInArrow(encode, f"`{key}` {kind}, n long, ids binary, " + ", ".join(f"{c} double" for c in names))
